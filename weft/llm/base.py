@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Fixed value: a word is a run of characters outside these ASCII ranges, after lower-casing A-Z.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -149,6 +150,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def with_fields(df: DataFrame, added: str) -> StructType:
+    """df's schema with the fields of a DDL string added."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(added).fields])
+
+
 def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

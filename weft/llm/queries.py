@@ -6,16 +6,53 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .base import table
+from . import files
+from .base import cut, fresh_dir, table
+from .decontaminate import find_contamination
 from .near_duplicates import join_near_duplicates
+from .packing import pack_documents
+from .repeated_spans import remove_repeats
+from .token_files import read_token_files, write_token_files
+
+
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_sentences", "n_removed", "cleaned")
+
+
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def op10_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the files, reads them back, and removes them once the result is kept."""
+    to = fresh_dir(spark, "tokens")
+    write_token_files(table(spark, sf_dir, "documents"), to, tokenizer("byte_bpe_50k.json"), end_id=2, vocabulary=50_257)
+    result = cut(read_token_files(spark, to))
+    files.remove_dir(to)
+    return result
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op6_substring_dedup": op6_substring_dedup,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op10_token_id_output": op10_token_id_output,
 }
 
 ORACLES: dict[str, str] = {}

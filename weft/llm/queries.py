@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from . import files
 from .base import cut, fresh_dir, table
 from .decontaminate import find_contamination
+from .language import identify, train
 from .near_duplicates import join_near_duplicates
 from .packing import pack_documents
 from .repeated_spans import remove_repeats
 from .token_files import read_token_files, write_token_files
+from .warc import read_warc, write_warc
 
 
 def tokenizer(name: str) -> str:
@@ -21,6 +23,15 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the archives, reads them back, and removes them once the result is kept."""
+    to = fresh_dir(spark, "warc")
+    write_warc(table(spark, sf_dir, "pages"), to)
+    result = cut(read_warc(spark, to)).drop("url")
+    files.remove_dir(to)
+    return result
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -38,6 +49,11 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return identify(docs.select("doc_id", "text"), train(docs)).drop("text")
+
+
 def op10_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the files, reads them back, and removes them once the result is kept."""
     to = fresh_dir(spark, "tokens")
@@ -48,10 +64,12 @@ def op10_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc": op2_warc,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_substring_dedup": op6_substring_dedup,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op9_language_id": op9_language_id,
     "op10_token_id_output": op10_token_id_output,
 }
 

@@ -13,6 +13,7 @@ from .language import identify, train
 from .near_duplicates import join_near_duplicates
 from .packing import pack_documents
 from .repeated_spans import remove_repeats
+from .resampling import resample, target_documents
 from .token_files import read_token_files, write_token_files
 from .topk_search import top_k
 from .warc import read_warc, write_warc
@@ -41,6 +42,11 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op4_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return resample(docs, target_documents(docs, table(spark, sf_dir, "labels"))).drop("text")
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -76,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk": op1_exact_topk,
     "op2_warc": op2_warc,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_quality_resampling": op4_quality_resampling,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_license_scan": op7_license_scan,

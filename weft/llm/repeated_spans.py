@@ -20,7 +20,7 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _STOP = np.zeros(256, bool)
 _STOP[[33, 46, 63]] = True
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_EVEN = np.uint64(0xD6E8FEB86659FD93)
+_EVEN = 0xD6E8FEB86659FD93
 
 
 class Sentences:
@@ -83,11 +83,11 @@ def runs(s: Sentences, least: int, words: int) -> tuple[np.ndarray, np.ndarray,
 def _run_hashes(s: Sentences, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Two sums over the run, place by place from its first sentence, folded into one 64-bit hash."""
     h = np.zeros(len(first), np.uint64)
-    step, k = np.uint64(1), 0
+    step, k = 1, 0
     live = np.arange(len(first))
     while len(live):
-        h[live] += s.hash[first[live] + k] * step
-        step, k = step * _EVEN, k + 1
+        h[live] += s.hash[first[live] + k] * np.uint64(step)
+        step, k = step * _EVEN % (1 << 64), k + 1
         live = live[first[live] + k <= last[live]]
     return mix(h + (last - first).astype(np.uint64) * _ODD)
 
@@ -133,8 +133,9 @@ def remove_repeats(docs: DataFrame, least: int = 2, words: int = 25) -> DataFram
     columns of those names in docs are replaced. An empty table gives an empty result.
     """
     found = spans(docs, least, words)
-    shared = found.groupBy("hash").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("other")).where("keeper < other").select("hash", "keeper")
-    later = found.join(shared, "hash").where("doc_id <> keeper").select("doc_id", "first", "last")
+    first = found.where("not again")
+    shared = first.groupBy("hash").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("other")).where("keeper < other").select("hash", "keeper")
+    later = first.join(shared, "hash").where("doc_id <> keeper").select("doc_id", "first", "last")
     code = F.shiftleft(F.col("first").cast("long"), 32) + F.col("last").cast("long")
     gone = later.union(found.where("again").select("doc_id", "first", "last")).groupBy("doc_id").agg(F.collect_set(code).alias("__runs"))
     kept = [c for c in docs.columns if c not in ("n_sentences", "n_removed", "cleaned")]

@@ -7,82 +7,93 @@ library encodes each new piece once and the pieces' ids are put together again.
 
 from __future__ import annotations
 
+import json
+import os
 import re
-
-import numpy as np
+from array import array
 
 _CUT = re.compile(r" (?=\S)")
 _UNCUT = re.compile(r" (?!\S)")
 _TAIL = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
-#: Pieces remembered by a Python worker, about 150 MB; when full, it starts anew.
-MEMORY = 500_000
+#: Letters of Latin alphabets that are one character before and after lower-casing and normalising.
+_LETTERS = re.compile(r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u0148\u014A-\u017F]+")
+#: Byte-level vocabularies write a byte that isn't a visible Latin-1 character as one from U+0100 on.
+_VISIBLE = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
+#: Pieces remembered by a Python worker, about 120 MB; when full, it starts anew.
+MEMORY = 600_000
 LONG_PIECE = 200
 
 
+class _Pieces(dict):
+    """Pieces after a space and their ids, learnt when they are first looked up."""
+
+    def __init__(self, encoder: PieceEncoder):
+        self.encoder = encoder
+
+    def __missing__(self, piece: str) -> bytes:
+        e = self.encoder
+        if len(piece) > LONG_PIECE:
+            return e.raw(" " + piece)
+        m = None if piece[-1].isalpha() else _TAIL.fullmatch(piece)
+        if m and _LETTERS.fullmatch(m[1]):
+            ids = self[m[1]] + e.outer[m[2]]  # letters end before punctuation in either vocabulary
+        else:
+            ids = e.word(piece)
+        self[piece] = ids
+        return ids
+
+
+class _Heads(dict):
+    """Pieces that begin a text, and punctuation after letters."""
+
+    def __init__(self, encoder: PieceEncoder):
+        self.encoder = encoder
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.encoder.raw(piece)
+        if len(piece) <= LONG_PIECE:
+            self[piece] = ids
+        return ids
+
+
 class PieceEncoder:
     """encode(texts) gives each text's ids as little-endian 32-bit bytes, equal to the library's own."""
 
     def __init__(self, path: str):
-        import os
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.inner: dict[str, bytes] = {}  # pieces after a space
-        self.outer: dict[str, bytes] = {}  # pieces that begin a text, and punctuation after letters
-
-    def _raw(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn_outer(self, pieces: set[str]) -> None:
-        pieces = [p for p in pieces if p not in self.outer]
-        for p, e in zip(pieces, self.tokenizer.encode_batch(pieces, add_special_tokens=False), strict=True):
-            self.outer[p] = np.array(e.ids, "<u4").tobytes()
-
-    def _learn_inner(self, pieces: list[str]) -> None:
-        """Encode many pieces as one text, and tell them apart by where their tokens begin."""
-        for a in range(0, len(pieces), 4000):
-            some = pieces[a : a + 4000]
-            sizes = np.fromiter(map(len, some), np.int64, len(some))
-            begins = np.concatenate(([0], np.cumsum(sizes + 1)))
-            enc = self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False)
-            ids = np.array(enc.ids, "<u4")
-            at = np.fromiter((o[0] for o in enc.offsets), np.int64, len(ids))
-            cuts = np.searchsorted(at, begins)
-            for p, x, y in zip(some, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                self.inner[p] = ids[x:y].tobytes()
+        self.model = self.tokenizer.model
+        form = json.loads(self.tokenizer.to_str())
+        self.lower = "Lowercase" in json.dumps(form.get("normalizer"))
+        self.mark = "" if self.lower else "\u0120"
+        self.inner, self.outer = _Pieces(self), _Heads(self)
+        # a word of plain letters is one piece for the model itself, as these probes confirm
+        self.direct = True
+        self.direct = all(self.word(w) == self.raw(" " + w) for w in ("the", "Zebra", "naïve", "ÀÉñß", "x", "oftionnten", "STRASSE", "œuvre"))
+
+    def raw(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def word(self, piece: str) -> bytes:
+        if not (self.direct and _LETTERS.fullmatch(piece)):
+            return self.raw(" " + piece)
+        if self.lower:
+            piece = piece.lower()
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(_VISIBLE)
+        return array("I", [t.id for t in self.model.tokenize(self.mark + piece)]).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.inner) > MEMORY:
-            self.inner = {}
+            self.inner.clear()
         if len(self.outer) > MEMORY // 10:
-            self.outer = {}
-        split = [_CUT.split(t) if _UNCUT.search(t) else t.split(" ") for t in texts]
-        inner = self.inner
-        fresh: set[str] = set()
-        for s in split:
-            fresh.update([p for p in s[1:] if p not in inner])
-        glued, plain, heads = {}, set(), {s[0] for s in split}
-        for p in fresh:
-            m = _TAIL.fullmatch(p)
-            if m and m[1].isalpha():
-                glued[p] = (m[1], m[2])
-                heads.add(m[2])
-                if m[1] not in inner:
-                    plain.add(m[1])
-            elif len(p) > LONG_PIECE:
-                inner[p] = self._raw(" " + p)
-            else:
-                plain.add(p)
-        self._learn_outer(heads)
-        self._learn_inner(sorted(plain))
-        for p, (word, tail) in glued.items():
-            inner[p] = inner[word] + self.outer[tail]
-        out = [self.outer[s[0]] + b"".join(map(inner.__getitem__, s[1:])) for s in split]
-        for p in fresh:
-            if len(p) > LONG_PIECE:
-                del inner[p]
+            self.outer.clear()
+        out, ids_of = [], self.inner.__getitem__
+        for t in texts:
+            head, *rest = _CUT.split(t) if _UNCUT.search(t) else t.split(" ")
+            out.append(self.outer[head] + b"".join(map(ids_of, rest)))
         return out
 
 

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where it is unset, as in tests."""
+    """spark.checkpoint.dir as a full URI, or a folder of our own where it is unset, as in tests."""
     sc = spark.sparkContext
     to = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or f"file:///tmp/checkpoints/{uuid.uuid4().hex}"
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(to)
-    return to
+    path = sc._jvm.org.apache.hadoop.fs.Path(to)
+    return path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 def cut(df: DataFrame) -> DataFrame:

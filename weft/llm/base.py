@@ -6,7 +6,6 @@ memory depends on the block (or on one longest text), never on the partition.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from weft.sources.shared import cut, fresh_dir  # noqa: F401
+
 #: Fixed value: a word is a run of characters outside these ASCII ranges, after lower-casing A-Z.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BLOCK = 1 << 20
@@ -133,32 +134,11 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = 5) -> list[np.n
     return [np.unique(h[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    sc = spark.sparkContext
-    to = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not to:
-        to = f"file:///tmp/checkpoints/{uuid.uuid4().hex}"
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(to)
-    return to if "://" in to or to.startswith("file:") else f"file://{to}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and go on from there, so that a lost executor costs no lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def with_fields(df: DataFrame, added: str) -> StructType:
     """df's schema with the fields of a DDL string added."""
     return StructType([*df.schema.fields, *StructType.fromDDL(added).fields])
 
 
-def fresh_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(to)
     path = sc._jvm.org.apache.hadoop.fs.Path(to)
-    return path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    full = path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub("^file:/+", "file:///", full)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -88,8 +88,8 @@ def pack(pieces: DataFrame, max_tokens: int, max_docs: int | None = None, max_at
 
     A sequence holds at most max_tokens tokens, max_docs pieces (max_tokens by default) and an attention
     cost, the sum of the pieces' squared lengths, of max_attention (the square of max_tokens by default,
-    which tokens alone keep). Both choices of best_fit are tried in each group and the one with fewer
-    sequences is taken. Rows are packed one by one, repeated ones too. An empty table gives an empty
+    which tokens alone keep). If one choice of best_fit needs more sequences than the sums of a group do,
+    the other is tried too, and the one with fewer sequences is taken. Rows are packed one by one, repeated ones too. An empty table gives an empty
     result; the offsets of a sequence run from 0 without gaps in the order doc_id, piece.
     """
     capacities = np.array([max_tokens, max_docs or max_tokens, max_attention or max_tokens**2], float)
@@ -99,8 +99,10 @@ def pack(pieces: DataFrame, max_tokens: int, max_docs: int | None = None, max_at
         rows = rows.sort_values(["doc_id", "piece", "start"], kind="stable").reset_index(drop=True)
         n = rows["length"].to_numpy(float)
         items = np.stack([n, np.ones(len(n)), n * n], axis=1)
-        tries = [best_fit(items, capacities, weight, c) for c in ("norm", "dot")]
-        bins = min(tries, key=lambda b: b.max())
+        fewest = np.ceil((items.sum(axis=0) / capacities).max())
+        bins = best_fit(items, capacities, weight, "norm")
+        if bins.max() + 1 > fewest:
+            bins = min(bins, best_fit(items, capacities, weight, "dot"), key=lambda b: b.max())
         used = np.stack([np.bincount(bins, items[:, d]) for d in range(3)], axis=1) / capacities
         rows["sequence_id"] = (np.int64(key[1]) << 50) + (np.int64(key[0]) << 12) + bins
         rows["good"] = (used.max(axis=1) >= GOOD)[bins]

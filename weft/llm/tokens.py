@@ -11,27 +11,41 @@ import json
 import os
 import re
 from array import array
+from itertools import islice
 
 _CUT = re.compile(r" (?=\S)")
-_UNCUT = re.compile(r" (?!\S)")
 _TAIL = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
 #: Letters of Latin alphabets that are one character before and after lower-casing and normalising.
 _LETTERS = re.compile(r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u0148\u014A-\u017F]+")
 #: Byte-level vocabularies write a byte that isn't a visible Latin-1 character as one from U+0100 on.
 _VISIBLE = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
-#: Pieces remembered by a Python worker, about 120 MB; when full, it starts anew.
+#: Pieces of a generation that a Python worker remembers; two generations take about 250 MB.
 MEMORY = 600_000
 LONG_PIECE = 200
 
 
+class _Uncut(Exception):
+    """A space before white space or the text's end doesn't cut."""
+
+
 class _Pieces(dict):
-    """Pieces after a space and their ids, learnt when they are first looked up."""
+    """Pieces after a space and their ids, learnt when they are first looked up.
+
+    When it is full, it becomes the old generation, from which what still occurs is taken over.
+    """
 
     def __init__(self, encoder: PieceEncoder):
         self.encoder = encoder
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is not None:
+            self[piece] = ids
+            return ids
         e = self.encoder
+        if not piece or piece[0].isspace():
+            raise _Uncut
         if len(piece) > LONG_PIECE:
             return e.raw(" " + piece)
         m = None if piece[-1].isalpha() else _TAIL.fullmatch(piece)
@@ -79,21 +93,27 @@ class PieceEncoder:
     def word(self, piece: str) -> bytes:
         if not (self.direct and _LETTERS.fullmatch(piece)):
             return self.raw(" " + piece)
-        if self.lower:
-            piece = piece.lower()
+        if self.lower and not piece.islower():
+            return self.inner[piece.lower()]
         if not piece.isascii():
             piece = piece.encode().decode("latin-1").translate(_VISIBLE)
         return array("I", [t.id for t in self.model.tokenize(self.mark + piece)]).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.inner) > MEMORY:
+            self.inner.old = dict(self.inner)
             self.inner.clear()
         if len(self.outer) > MEMORY // 10:
             self.outer.clear()
         out, ids_of = [], self.inner.__getitem__
         for t in texts:
-            head, *rest = _CUT.split(t) if _UNCUT.search(t) else t.split(" ")
-            out.append(self.outer[head] + b"".join(map(ids_of, rest)))
+            pieces = t.split(" ")
+            head = self.outer[pieces[0]]
+            try:
+                out.append(head + b"".join(map(ids_of, islice(pieces, 1, None))))
+            except _Uncut:
+                pieces = _CUT.split(t)
+                out.append(self.outer[pieces[0]] + b"".join(map(ids_of, pieces[1:])))
         return out
 
 

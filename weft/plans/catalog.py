@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.functions import bytes as byte_functions
@@ -352,7 +352,8 @@ def hotness(spark, sf_dir):
     return folds.hotness(s.log(spark, sf_dir), "ino").withColumn("hotness", F.round("hotness", 9))
 
 
-_UNIT = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("value") / 100))
+def _unit() -> Column:
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("value") / 100))
 
 
 @query("""WITH r AS (SELECT user_id, event_type, abs(1 - greatest(0.0, least(1.0, value / 100))) AS e, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) - 1 AS back FROM events),
@@ -371,13 +372,13 @@ def trust_order_budget(spark, sf_dir):
 
 @query()
 def regimes(spark, sf_dir):
-    rows = s.table(spark, sf_dir, "events").select("user_id", "event_id", _UNIT.alias("m"))
+    rows = s.table(spark, sf_dir, "events").select("user_id", "event_id", _unit().alias("m"))
     return folds.track_regimes(rows, "user_id", ["event_id"], "m").select("user_id", "event_id", "regime")
 
 
 @query()
 def slew_signals(spark, sf_dir):
-    rows = s.table(spark, sf_dir, "events").select("user_id", "event_id", _UNIT.alias("m"), (1 - _UNIT).alias("c"))
+    rows = s.table(spark, sf_dir, "events").select("user_id", "event_id", _unit().alias("m"), (1 - _unit()).alias("c"))
     return folds.detect_slews(rows, "user_id", ["event_id"], "m", "c").select("user_id", "event_id", "signal")
 
 

@@ -14,13 +14,18 @@ from array import array
 from itertools import islice
 
 _CUT = re.compile(r" (?=\S)")
-_TAIL = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
-#: Letters of Latin alphabets that are one character before and after lower-casing and normalising.
-_LETTERS = re.compile(r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u0148\u014A-\u017F]+")
+#: Atoms end before one another in either vocabulary: letters that are one character before and after
+#: lower-casing and normalising, digits, ASCII punctuation but the apostrophe, and a line end within a piece.
+_LETTERS = "[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u0148\u014A-\u017F]+"
+_PUNCTUATION = r"[!-&(-/:-@\[-`{-~]+"
+_LINE_END = r"(?<=\S)\n(?=\S)"
+_ATOMS = re.compile(f"{_LETTERS}|[0-9]+|{_PUNCTUATION}|{_LINE_END}")
+_ATOMS_ONE_DIGIT = re.compile(f"{_LETTERS}|[0-9]|{_PUNCTUATION}|{_LINE_END}")
 #: Byte-level vocabularies write a byte that isn't a visible Latin-1 character as one from U+0100 on.
 _VISIBLE = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
-#: Pieces of a generation that a Python worker remembers; two generations take about 250 MB.
-MEMORY = 600_000
+#: Pieces of a generation that a Python worker remembers (two take about 100 MB), and bits that mark what was seen.
+MEMORY = 300_000
+SEEN_BITS = 1 << 24
 LONG_PIECE = 200
 
 
@@ -29,14 +34,16 @@ class _Uncut(Exception):
 
 
 class _Pieces(dict):
-    """Pieces after a space and their ids, learnt when they are first looked up.
+    """Pieces after a space and their ids, kept from the second time on that they are encoded.
 
-    When it is full, it becomes the old generation, from which what still occurs is taken over.
+    Most pieces occur once; a bitmap of hashes tells which have been seen. When it is full, it becomes
+    the old generation, from which what still occurs is taken over.
     """
 
     def __init__(self, encoder: PieceEncoder):
         self.encoder = encoder
         self.old: dict[str, bytes] = {}
+        self.seen = bytearray(SEEN_BITS // 8)
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
@@ -48,23 +55,33 @@ class _Pieces(dict):
             raise _Uncut
         if len(piece) > LONG_PIECE:
             return e.raw(" " + piece)
-        m = None if piece[-1].isalpha() else _TAIL.fullmatch(piece)
-        if m and _LETTERS.fullmatch(m[1]):
-            ids = self[m[1]] + e.outer[m[2]]  # letters end before punctuation in either vocabulary
+        parts = e.atoms(piece)
+        if sum(map(len, parts)) < len(piece) or "<|" in piece:
+            ids = e.raw(" " + piece)
+        elif len(parts) == 1:
+            low = piece.lower() if e.lower else piece
+            ids = e.word(e.mark, piece) if low == piece else self[low]
+        elif e.lower:
+            ids = b"".join([self[p] for p in parts if p != "\n"])
         else:
-            ids = e.word(piece)
-        self[piece] = ids
+            ids = self[parts[0]] + b"".join([e.outer[p] for p in parts[1:]])
+        h = hash(piece) & (SEEN_BITS - 1)
+        if self.seen[h >> 3] >> (h & 7) & 1:
+            self[piece] = ids
+        else:
+            self.seen[h >> 3] |= 1 << (h & 7)
         return ids
 
 
 class _Heads(dict):
-    """Pieces that begin a text, and punctuation after letters."""
+    """Pieces that begin a text, and atoms within a piece."""
 
     def __init__(self, encoder: PieceEncoder):
         self.encoder = encoder
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.encoder.raw(piece)
+        e = self.encoder
+        ids = e.word("", piece.lower() if e.lower else piece) if e.atoms(piece) == [piece] else e.raw(piece)
         if len(piece) <= LONG_PIECE:
             self[piece] = ids
         return ids
@@ -83,27 +100,27 @@ class PieceEncoder:
         self.lower = "Lowercase" in json.dumps(form.get("normalizer"))
         self.mark = "" if self.lower else "\u0120"
         self.inner, self.outer = _Pieces(self), _Heads(self)
-        # a word of plain letters is one piece for the model itself, as these probes confirm
-        self.direct = True
-        self.direct = all(self.word(w) == self.raw(" " + w) for w in ("the", "Zebra", "naïve", "ÀÉñß", "x", "oftionnten", "STRASSE", "œuvre"))
+        # an atom is one piece for the model itself, as these probes confirm; if not, the library gets whole pieces
+        self.atoms = (_ATOMS_ONE_DIGIT if self.lower else _ATOMS).findall
+        probes = ("the", "Zebra", "naïve", "ÀÉñß", "oftionnten", "STRASSE", "2024", "7", "...", "--", "(x)", "a1b22,c", "x_y", "##", "a\nB", "a.\nb")
+        if not all(self.inner[w] == self.raw(" " + w) and self.outer[w] == self.raw(w) for w in probes):
+            self.atoms = lambda piece: []
+        self.inner.clear()
+        self.outer.clear()
 
     def raw(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def word(self, piece: str) -> bytes:
-        if not (self.direct and _LETTERS.fullmatch(piece)):
-            return self.raw(" " + piece)
-        if self.lower and not piece.islower():
-            return self.inner[piece.lower()]
-        if not piece.isascii():
-            piece = piece.encode().decode("latin-1").translate(_VISIBLE)
-        return array("I", [t.id for t in self.model.tokenize(self.mark + piece)]).tobytes()
+    def word(self, mark: str, atom: str) -> bytes:
+        if not atom.isascii():
+            atom = atom.encode().decode("latin-1").translate(_VISIBLE)
+        return array("I", [t.id for t in self.model.tokenize(mark + atom)]).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.inner) > MEMORY:
             self.inner.old = dict(self.inner)
             self.inner.clear()
-        if len(self.outer) > MEMORY // 10:
+        if len(self.outer) > MEMORY // 4:
             self.outer.clear()
         out, ids_of = [], self.inner.__getitem__
         for t in texts:

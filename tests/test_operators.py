@@ -32,8 +32,10 @@ def test_as_of_and_windows_match_brute_force(spark):
     pts = [(k, p) for k in range(4) for p in rng.sample(range(450), 30)]
     e = spark.createDataFrame(ext, "ino int, start long, end long")
     p = spark.createDataFrame(pts, "ino int, pos long")
-    back = {(r["ino"], r["pos"]): r["found"] and r["found"]["start"] for r in lookups.as_of(p, e).collect()}
+    back = {(r["ino"], r["pos"]): r["found"] and r["found"]["start"] for r in lookups.as_of(p, e, width=50).collect()}
     assert back == {(k, x): max((s for i, s, _ in ext if i == k and s <= x), default=None) for k, x in pts}
+    fore = {(r["ino"], r["pos"]): r["found"] and r["found"]["start"] for r in lookups.as_of(p, e, forward=True, width=50).collect()}
+    assert fore == {(k, x): min((s for i, s, _ in ext if i == k and s >= x), default=None) for k, x in pts}
     w = [(k, a, a + rng.randint(0, 200)) for k in range(3) for a in rng.sample(range(400), 20)]
     met = lookups.overlapping(spark.createDataFrame(w, "ino int, off long, stop long"), e, 64).collect()
     assert sorted((r["ino"], r["off"], r["stop"], r["start"]) for r in met) == sorted((k, a, b, s) for k, a, b in w for i, s, t in ext if i == k and s < b and t > a and a < b)

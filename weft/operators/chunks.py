@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weft.functions.values import content_id
+from weft.sources.shared import cut
 
 
 def chunk(blobs: DataFrame, size: int, data: str = "bytes") -> DataFrame:
@@ -47,16 +49,16 @@ def shared_saving(objects: DataFrame, obj: str, size: str) -> DataFrame:
 
 
 def pack(blobs: DataFrame, name: str, data: str) -> DataFrame:
-    """name, bytes and place of each blob's record in a pack: records in name order, each of a 4-byte name length, the name, an 8-byte length and the bytes.
+    """name, place and size of each blob's record in a pack: records in name order, each of a 4-byte name length, the name, an 8-byte length and the bytes.
 
-    Places are prefix sums in two steps, of partitions in name order and within them, so no task gets all rows.
+    Places are prefix sums in two steps, of partitions in name order and within them, so no task gets all
+    rows. Names and sizes are written to the shared folder with their partition's number first: both steps
+    must see the same partitions.
     """
-    from pyspark.sql import Window as W
-
-    ranged = blobs.select(F.col(name).alias("name"), F.col(data).alias("bytes")).repartitionByRange(F.col("name")).withColumn("part", F.spark_partition_id())
-    sized = ranged.withColumn("size", (F.lit(12) + F.octet_length("name") + F.octet_length("bytes")).cast("long"))
+    size = (F.lit(12) + F.octet_length(F.col(name)) + F.octet_length(F.col(data))).cast("long")
+    ranged = cut(blobs.select(F.col(name).alias("name"), size.alias("size")).repartitionByRange(F.col("name")).withColumn("part", F.spark_partition_id()))
     before = W.partitionBy("part").orderBy("name").rowsBetween(W.unboundedPreceding, -1)
-    own = sized.withColumn("own", F.coalesce(F.sum("size").over(before), F.lit(0)))
-    parts = sized.groupBy("part").agg(F.sum("size").alias("total"))
-    starts = parts.withColumn("base", F.coalesce(F.sum("total").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("part", "base")
-    return own.join(starts, "part").select("name", "bytes", (F.col("base") + F.col("own")).alias("place"), "size")
+    own = ranged.withColumn("own", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    parts = ranged.groupBy("part").agg(F.sum("size").alias("total"))
+    starts = parts.select("part", F.coalesce(F.sum("total").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # a row for each partition
+    return own.join(starts, "part").select("name", (F.col("base") + F.col("own")).alias("place"), "size")

@@ -8,22 +8,25 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def as_of(points: DataFrame, extents: DataFrame, key: str = "ino", at: str = "pos", start: str = "start", forward: bool = False) -> DataFrame:
-    """points with the extent row of the same key that begins last at or before the point (forward: first after it), as struct ``found``.
+def as_of(points: DataFrame, extents: DataFrame, key: str = "ino", at: str = "pos", start: str = "start", forward: bool = False, width: int = 1 << 20) -> DataFrame:
+    """points with the extent row of the same key that begins last at or before the point (forward: first at or after it), as struct ``found``.
 
-    One exchange and one sort: points and extents are unioned and a running last (first) value fills the
-    points in. Among extents of one start the largest row counts.
+    Points and extents are unioned and a running last value fills the points in, within stretches of
+    ``width``, so that a key of very many extents is spread over tasks; what a stretch takes over from
+    those before it comes from one row a stretch. Among extents of one start the largest row counts.
     """
     fields = [c for c in extents.columns if c != key]
-    e = extents.select(F.col(key).alias("__k"), F.col(start).cast("long").alias("__at"), F.lit(0).alias("__point"), F.struct(*fields).alias("__e"), *(F.lit(None).cast(t).alias(f"p_{c}") for c, t in points.dtypes))
-    p = points.select(F.col(key).alias("__k"), F.col(at).cast("long").alias("__at"), F.lit(1).alias("__point"), F.lit(None).cast(e.schema["__e"].dataType).alias("__e"), *(F.col(c).alias(f"p_{c}") for c in points.columns))
-    both = e.union(p)
-    if forward:
-        w = W.partitionBy("__k").orderBy(F.desc("__at"), "__point", "__e")
-        window = w.rowsBetween(W.unboundedPreceding, 0)
-    else:
-        window = W.partitionBy("__k").orderBy("__at", "__point", "__e").rowsBetween(W.unboundedPreceding, 0)
-    return both.withColumn("found", F.last("__e", ignorenulls=True).over(window)).where("__point = 1").select(*(F.col(f"p_{c}").alias(c) for c in points.columns), "found")
+    sign = -1 if forward else 1  # forward is backward on negated places
+    e = extents.select(F.col(key).alias("__k"), (sign * F.col(start)).cast("long").alias("__at"), F.lit(0).alias("__point"), F.struct(*fields).alias("__e"), *(F.lit(None).cast(t).alias(f"p_{c}") for c, t in points.dtypes))
+    p = points.select(F.col(key).alias("__k"), (sign * F.col(at)).cast("long").alias("__at"), F.lit(1).alias("__point"), F.lit(None).cast(e.schema["__e"].dataType).alias("__e"), *(F.col(c).alias(f"p_{c}") for c in points.columns))
+    both = e.union(p).withColumn("__b", F.floor(F.col("__at") / width))
+    within = W.partitionBy("__k", "__b").orderBy("__at", "__point", "__e").rowsBetween(W.unboundedPreceding, 0)
+    here = both.withColumn("__own", F.last("__e", ignorenulls=True).over(within)).where("__point = 1")
+    stretch = both.groupBy("__k", "__b").agg(F.max(F.when(F.col("__point") == 0, F.struct("__at", "__e"))).alias("__last"))
+    before = W.partitionBy("__k").orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
+    carried = stretch.select("__k", "__b", F.last("__last", ignorenulls=True).over(before).alias("__taken"))
+    found = F.coalesce(F.col("__own"), F.col("__taken.__e")).alias("found")
+    return here.join(carried, ["__k", "__b"]).select(*(F.col(f"p_{c}").alias(c) for c in points.columns), found)
 
 
 def overlapping(windows: DataFrame, extents: DataFrame, width: int, key: str = "ino") -> DataFrame:

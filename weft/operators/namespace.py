@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weft.sources.shared import cut
+
 
 def pending(log: DataFrame, applied: int) -> DataFrame:
     """Records after the applied sequence; what comes late, at or below it, is ignored."""
@@ -79,10 +82,8 @@ def copy_range(extents: DataFrame, copies: DataFrame) -> DataFrame:
 
 def allocate(inodes: DataFrame, names: DataFrame, order: str) -> DataFrame:
     """names with the inode numbers that follow the largest in use, in order; the count of names in each range partition comes first, so no task gets all."""
-    from pyspark.sql import Window as W
-
     base = inodes.agg(F.coalesce(F.max("ino"), F.lit(0)).alias("base"))
-    ranged = names.repartitionByRange(F.col(order)).withColumn("part", F.spark_partition_id())
+    ranged = cut(names.repartitionByRange(F.col(order)).withColumn("part", F.spark_partition_id()))
     own = ranged.withColumn("n", F.row_number().over(W.partitionBy("part").orderBy(order)))
     before = ranged.groupBy("part").count().withColumn("skip", F.coalesce(F.sum("count").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("count")
     return own.join(before, "part").join(F.broadcast(base)).withColumn("ino", F.col("base") + F.col("skip") + F.col("n")).drop("part", "n", "skip", "base")

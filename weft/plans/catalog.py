@@ -170,13 +170,13 @@ def rollup_families(spark, sf_dir):
 SELECT j.ino, j.pos, e.start AS found_start, e.len AS found_len FROM j LEFT JOIN extents e ON e.ino = j.ino AND e.start = j.s""")
 def asof_extent(spark, sf_dir):
     points = s.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ino"), (F.col("o_custkey") % 300).alias("pos"))
-    return lookups.as_of(points, s.extents(spark, sf_dir).select("ino", "start", "len")).select("ino", "pos", F.col("found.start").alias("found_start"), F.col("found.len").alias("found_len"))
+    return lookups.as_of(points, s.extents(spark, sf_dir).select("ino", "start", "len"), width=64).select("ino", "pos", F.col("found.start").alias("found_start"), F.col("found.len").alias("found_len"))
 
 
 @query(f"""WITH {s.EXTENTS}, p AS (SELECT o_orderkey AS ino, o_custkey % 300 AS pos FROM orders) SELECT p.ino, p.pos, min(start) AS next_start FROM p LEFT JOIN extents e ON p.ino = e.ino AND e.start > p.pos GROUP BY p.ino, p.pos""")
 def asof_next_extent(spark, sf_dir):
     points = s.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ino"), (F.col("o_custkey") % 300).alias("pos"))
-    found = lookups.as_of(points.withColumn("after", F.col("pos") + 1), s.extents(spark, sf_dir).select("ino", "start"), at="after", forward=True)
+    found = lookups.as_of(points.withColumn("after", F.col("pos") + 1), s.extents(spark, sf_dir).select("ino", "start"), at="after", forward=True, width=64)
     return found.select("ino", "pos", F.col("found.start").alias("next_start"))
 
 

@@ -60,7 +60,7 @@ def _has_letter(texts: list[str | None]) -> np.ndarray:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """docs' columns but text, with the non-zero features' numbers and shares; texts without letters are left out."""
+    """docs' columns but text, with the non-zero features' numbers (16 bits each) and shares (32-bit floats); texts without letters are left out."""
     kept = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,12 +73,13 @@ def features(docs: DataFrame) -> DataFrame:
                 for i in np.flatnonzero(good):
                     x = np.concatenate((two[offsets[i] : offsets[i + 1]], three[offsets[i] : offsets[i + 1]]))
                     n = np.bincount(x, minlength=FEATURES)
-                    at.append(np.flatnonzero(n))
-                    share.append((n[at[-1]] / len(x)).astype(np.float32))
+                    some = np.flatnonzero(n)
+                    at.append(some.astype("<u2").tobytes())
+                    share.append((n[some] / len(x)).astype("<f4").tobytes())
                 pick = pa.array(np.flatnonzero(good))
-                yield pa.RecordBatch.from_arrays([*(batch.column(k)[lo:hi].take(pick) for k in range(len(kept))), pa.array(at, pa.list_(pa.int32())), pa.array(share, pa.list_(pa.float32()))], names=[*kept, "at", "share"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k)[lo:hi].take(pick) for k in range(len(kept))), pa.array(at, pa.binary()), pa.array(share, pa.binary())], names=[*kept, "at", "share"])
 
-    return docs.select(*kept, "text").mapInArrow(run, with_fields(docs.select(*kept), "at array<int>, share array<float>"))
+    return docs.select(*kept, "text").mapInArrow(run, with_fields(docs.select(*kept), "at binary, share binary"))
 
 
 def linear_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 100) -> np.ndarray:
@@ -88,18 +89,24 @@ def linear_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 100)
     """
     n = len(y)
     weight = np.where(y > 0, n / (2 * max(1, (y > 0).sum())), n / (2 * max(1, (y < 0).sum()))) / n * c
-    xb = np.hstack([x, np.ones((n, 1), x.dtype)])
-    u = np.ones(xb.shape[1], x.dtype)
+
+    def ahead(v: np.ndarray) -> np.ndarray:
+        return x @ v[:-1] + v[-1]
+
+    def back(g: np.ndarray) -> np.ndarray:
+        return np.append(x.T @ g, g.sum())
+
+    u = np.ones(x.shape[1] + 1, x.dtype)
     for _ in range(30):  # the largest curvature, by power iteration
-        u = xb.T @ (weight.astype(x.dtype) * (xb @ u))
+        u = back(weight.astype(x.dtype) * ahead(u))
         top = float(np.linalg.norm(u))
         u /= max(top, 1e-30)
     step = 1 / (1 + 2.2 * top)
-    w = v = np.zeros(xb.shape[1], x.dtype)
+    w = v = np.zeros(x.shape[1] + 1, x.dtype)
     t = 1.0
     for _ in range(rounds):
-        gap = np.maximum(0, 1 - y * (xb @ v))
-        grad = v - 2 * (xb.T @ ((weight * y * gap).astype(x.dtype)))
+        gap = np.maximum(0, 1 - y * ahead(v))
+        grad = v - 2 * back((weight * y * gap).astype(x.dtype))
         new = v - step * grad
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
         v = new + (t - 1) / t_new * (new - w)
@@ -118,7 +125,7 @@ class Model:
         x = np.zeros((len(langs), FEATURES), np.float32)
         for i, (a, s) in enumerate(zip(at, share, strict=True)):
             x[i, a] = s
-        self.scale = np.float32(1 / max(1e-9, np.sqrt((x**2).sum(axis=1)).mean())) if len(langs) else np.float32(1)
+        self.scale = np.float32(1 / max(1e-9, np.sqrt(np.einsum("ij,ij->i", x, x)).mean())) if len(langs) else np.float32(1)
         x *= self.scale
         lang = np.array(langs)
         family = np.array([_FAMILY_OF.get(v, v) for v in langs])
@@ -129,7 +136,7 @@ class Model:
                 for b in names[i + 1 :]:
                     rows = (labels == a) | (labels == b)
                     self.pairs.append((of, a, b))
-                    columns.append(linear_svm(x[rows], np.where(labels[rows] == a, 1.0, -1.0)))
+                    columns.append(linear_svm(x if rows.all() else x[rows], np.where(labels[rows] == a, 1.0, -1.0)))
         self.weights = np.stack(columns, axis=1) if columns else np.zeros((FEATURES + 1, 0))
 
     def margins(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -186,7 +193,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     for lang, n in sorted(counts.items()):
         chosen = chosen | ((F.col("lang") == lang) & (draw < min(1.0, each / n)))
     rows = features(usable.where(chosen).select("doc_id", "lang", "text")).orderBy("doc_id", "lang").collect()
-    return Model([r["lang"] for r in rows], [r["at"] for r in rows], [r["share"] for r in rows])
+    return Model([r["lang"] for r in rows], [np.frombuffer(r["at"], "<u2") for r in rows], [np.frombuffer(r["share"], "<f4") for r in rows])
 
 
 _models: dict[str, Model] = {}

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weft.operators import candidates, chunks, closure, folds, integrity, lookups, namespace, statistics
+from weft.plans.catalog import QUERIES
 from weft.sources.shared import fresh_dir
 from weft.sources.store import BlobTable, VersionedTable
 from weft.streaming import log as streams
@@ -229,3 +230,14 @@ def test_stream_regimes_over_batches(spark):
     for k in range(3):
         t = folds.Tracker()
         assert [got[k, i] for i in range(60)] == [t.step(m) for kk, _, m in rows if kk == k]
+
+
+def test_lock_conflicts_of_all_line_items_match_brute_force(spark, tmp_path):
+    rng = random.Random(15)
+    rows = [(order, line, rng.randint(1, 6), rng.randint(1, 8)) for order in range(60) for line in range(1, 5)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_suppkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    locks = [(supp, order * 8 + line, order, part % 1000 * 10, line % 3 == 0) for order, line, supp, part in rows]
+    want = {(a[0], a[1], b[1]) for a in locks for b in locks if a[0] == b[0] and a[1] < b[1] and a[2] != b[2] and abs(a[3] - b[3]) <= 5 and (a[4] or b[4])}
+    got = [tuple(r) for r in QUERIES["lock_conflicts_all"](spark, str(tmp_path)).select("ino", "a_id", "b_id").collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert len(got) > 5 * QUERIES["lock_conflicts"](spark, str(tmp_path)).count()

@@ -191,12 +191,21 @@ def range_window(spark, sf_dir):
 @query("""WITH l AS (SELECT l_suppkey AS ino, l_orderkey * 8 + l_linenumber AS lock_id, l_orderkey AS owner, min(l_partkey % 1000 * 10) AS a, CASE WHEN l_linenumber % 3 = 0 THEN 'W' ELSE 'R' END AS typ FROM lineitem WHERE l_suppkey % 10 = l_orderkey % 10 GROUP BY 1, 2, 3, 5)
 SELECT x.ino, x.lock_id AS a_id, y.lock_id AS b_id FROM l x JOIN l y ON x.ino = y.ino AND x.lock_id < y.lock_id AND x.owner <> y.owner AND x.a <= y.a + 5 AND y.a <= x.a + 5 AND (x.typ = 'W' OR y.typ = 'W')""")
 def lock_conflicts(spark, sf_dir):
+    return _conflicts(s.table(spark, sf_dir, "lineitem").where("l_suppkey % 10 = l_orderkey % 10"))
+
+
+def _conflicts(rows: DataFrame) -> DataFrame:
     typ = F.when(F.col("l_linenumber") % 3 == 0, "W").otherwise("R").alias("typ")
-    rows = s.table(spark, sf_dir, "lineitem").where("l_suppkey % 10 = l_orderkey % 10")
     locks = rows.groupBy(F.col("l_suppkey").alias("ino"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("lock_id"), F.col("l_orderkey").alias("owner"), typ).agg(F.min(F.col("l_partkey") % 1000 * 10).alias("start"))
     return lookups.conflicts(locks.withColumn("end", F.col("start") + 5), 256)
 
 
+@query()
+def lock_conflicts_all(spark, sf_dir):
+    """lock_conflicts of all line items; tests/test_operators.py holds it against brute force."""
+    return _conflicts(s.table(spark, sf_dir, "lineitem"))
+
+
 @query(f"""WITH {s.LOG}, r AS (SELECT *, row_number() OVER (PARTITION BY ino ORDER BY seq DESC) AS r FROM log), l AS (SELECT * FROM r WHERE r = 1), base AS (SELECT c_custkey AS ino, CAST(floor(c_acctbal) AS BIGINT) AS size FROM customer)
 SELECT coalesce(b.ino, l.ino) AS ino, CASE WHEN l.ino IS NULL THEN b.size ELSE l.size END AS size FROM base b FULL JOIN l ON b.ino = l.ino WHERE l.op IS NULL OR l.op <> 'unlink'""")
 def overlay_latest(spark, sf_dir):

@@ -82,6 +82,23 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch, block):
     assert join_near_duplicates(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("block", [1 << 18, 1 << 11])
+def test_links_of_each_document_match_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(near_duplicates, "BLOCK_SHINGLES", block)
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    texts = []
+    for size, edits in ((2, 1), (5, 1), (80, 1), (40, 3), (20, 4)):
+        texts += near_copies(rng, " ".join(word() for _ in range(150)), size, edits)
+    texts += [texts[3], texts[3], None, "one"] + [" ".join(word() for _ in range(30)) for _ in range(10)]
+    sets = {i: shingles(t) for i, t in enumerate(texts)}
+    leader = {i: min((j for j in sets if sets[j] and sets[j] == s), default=i) for i, s in sets.items()}
+    other = set(leader.values())
+    want = {i: sum(sets[j] != s and len(s & sets[j]) >= 0.8 * len(s | sets[j]) for j in other if s and sets[j]) for i, s in sets.items()}
+    got = {r["doc_id"]: r["n_links"] for r in join_near_duplicates(frame(spark, list(enumerate(texts)))).collect()}
+    assert got == want and max(want.values()) > 60
+
+
 def test_repeated_passages_go_but_for_the_first(spark):
     rng = random.Random(9)
     sentence = lambda n: " ".join("".join(rng.choices("abcdefghij", k=4)) for _ in range(n)).capitalize() + "."

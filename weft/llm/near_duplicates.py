@@ -5,8 +5,9 @@ equal sets form a class, led by the smallest doc_id; only leaders go on. (3) Lea
 hashes. (4) In a few rounds each leader is verified against one member of a band that isn't yet in its
 component; the links so found give components, which settles most bands. (5) In bands that still hold
 several components, all full sets are compared, block against block, and a link is kept for each two
-components that a block links. (6) Components of all links.
-No band is emitted as all its pairs, and no band is gathered whole in a task.
+components that a block links. (6) Components of all links. (7) For n_links, all members of each
+component are compared, block against block, and each block gives its members' numbers of links.
+No band and no component is emitted as all its pairs, or gathered whole in a task.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -168,16 +170,70 @@ def _links_between(members: DataFrame, threshold: float) -> DataFrame:
     return members.select("band", "cell", "side", "node", "comp", "shingles").mapInArrow(run, "a long, b long")
 
 
-def join_near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, recall: float = 0.999) -> DataFrame:
+def _degrees(sets: list[list[np.ndarray]], threshold: float) -> list[np.ndarray]:
+    """How many others each set reaches the threshold with: of one block among themselves, or of two across."""
+    good = _similar(sets[0], sets[-1], threshold)
+    if len(sets) == 1:
+        np.fill_diagonal(good, False)
+    return [good.sum(axis=1), good.sum(axis=0)][: len(sets)]
+
+
+def _link_counts(label: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(node, n_links): the members of the node's component that reach the threshold with it.
+
+    label: (node, root). Both members of a component of two have one link. A component of one block is
+    compared in one task; of a larger one each block is packed to a row, and each two blocks are compared.
+    """
+    sized = cut(label.join(sets.select("node", F.octet_length("shingles").alias("size")), "node"))
+    whole = sized.groupBy("root").agg(F.count("*").alias("members"), F.ceil(F.sum("size") / F.lit(8.0 * BLOCK_SHINGLES)).alias("n"))
+    placed = cut(sized.join(whole, "root").select("node", "root", "members", "n"))
+    two = placed.where("members = 2").select("node", F.lit(1).cast("long").alias("n_links"))
+    members = placed.where("members > 2").join(sets, "node")
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, nodes, group = None, [], []
+
+        def counted() -> pa.RecordBatch:
+            n = _degrees([group], threshold)[0] if group else []
+            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(n, pa.int64())], names=["node", "n_links"])
+
+        for batch in batches:
+            for root, node, shingles in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if root != at:
+                    yield counted()
+                    at, nodes, group = root, [], []
+                nodes.append(node)
+                group.append(np.frombuffer(shingles.as_py(), np.uint64))
+        yield counted()
+
+    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        data = pa.compress(b"".join(rows["shingles"]), codec="zstd", asbytes=True)
+        return pd.DataFrame({"root": [key[0]], "n": [key[1]], "chunk": [key[2]], "nodes": [rows["node"].tolist()], "sizes": [[len(x) // 8 for x in rows["shingles"]]], "data": [data]})
+
+    def across(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        for sizes, data in zip(rows["sizes"], rows["data"], strict=True):
+            flat = np.frombuffer(pa.decompress(data, int(sum(sizes)) * 8, codec="zstd", asbytes=True), np.uint64)
+            parts.append(np.split(flat, np.cumsum(sizes)[:-1]))
+        return pd.DataFrame({"node": np.concatenate([np.asarray(x) for x in rows["nodes"]]), "n_links": np.concatenate(_degrees(parts, threshold))})
+
+    small = members.where("n = 1").select("root", "node", "shingles").repartition("root").sortWithinPartitions("root").mapInArrow(within, "node long, n_links long")
+    chunk = F.pmod(F.xxhash64("node", F.lit(6)), F.col("n"))
+    packed = cut(members.where("n > 1").select("root", "n", chunk.alias("chunk"), "node", "shingles").groupBy("root", "n", "chunk").applyInPandas(pack, "root long, n long, chunk long, nodes array<long>, sizes array<int>, data binary"))
+    met = packed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).select("root", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), "nodes", "sizes", "data")
+    large = met.groupBy("root", "x", "y").applyInPandas(across, "node long, n_links long")
+    return two.union(small).union(large).groupBy("node").agg(F.sum("n_links").alias("n_links"))
+
+
+def join_near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, recall: float = 0.999, count_links: bool = True) -> DataFrame:
     """One row per document: its near-duplicate class and the verified links of its text.
 
     Returns (doc_id, class_id, leader_id, n_copies, n_links). Two documents are linked if the Jaccard
     similarity of their sets of k-word shingles is at least the threshold; class_id is the smallest
     doc_id of the connected component. leader_id is the smallest doc_id with the same shingle set,
-    n_copies the number of documents that have that set, and n_links the verified links between the
-    leader and leaders of other sets. Links that join what other links join already aren't all
-    verified: those kept span each component, so no two documents that the bands bring together and
-    that are similar end in different classes.
+    n_copies the number of documents that have that set, and n_links the number of leaders of other sets
+    that the leader is linked with, all members of a class being compared; null without count_links.
+    No two documents that the bands bring together and that are similar end in different classes.
 
     A text of fewer than k words, but not none, is one shingle. Null and empty texts, and texts without
     words, are each a class of their own (n_copies 1, n_links 0). Rows that repeat a doc_id count as one
@@ -224,19 +280,19 @@ def join_near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, re
     second = _links_between(parts.repartition("band", "cell").sortWithinPartitions("band", "cell", "side"), threshold)
     links = links.union(second)
     links = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    label = components(links).select(F.col("node").alias("leader_id"), F.col("root"))
-    degree = links.select(F.explode(F.array("a", "b")).alias("leader_id")).groupBy("leader_id").agg(F.count("*").alias("n_links"))
-    of_leader = label.join(degree, "leader_id", "left")
+    label = components(links)
+    degree = _link_counts(label, sets, threshold) if count_links else label.select("node", F.lit(None).cast("long").alias("n_links"))
+    of_leader = label.join(degree, "node", "left").withColumnRenamed("node", "leader_id")
     alone = every.where("doc_id is null or key is null").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("leader_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"))
     return (
         whole.select("doc_id", "leader_id", "n_copies")
         .join(of_leader, "leader_id", "left")
-        .select("doc_id", F.coalesce("root", "leader_id").alias("class_id"), "leader_id", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+        .select("doc_id", F.coalesce("root", "leader_id").alias("class_id"), "leader_id", "n_copies", (F.coalesce("n_links", F.lit(0).cast("long")) if count_links else F.col("n_links")).alias("n_links"))
         .union(alone)
     )
 
 
 def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs whose document is the smallest doc_id of its class; rows with null doc_id stay."""
-    drop = join_near_duplicates(docs, **options).where("doc_id <> class_id").select("doc_id").distinct()
+    drop = join_near_duplicates(docs, count_links=False, **options).where("doc_id <> class_id").select("doc_id").distinct()
     return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)

@@ -123,6 +123,17 @@ def test_repeated_passages_go_but_for_the_first(spark):
     assert remove_repeats(df.where("false")).count() == 0
 
 
+def test_passages_go_wherever_sentences_end(spark):
+    rng = random.Random(21)
+    text = lambda n: " ".join("".join(rng.choices("abcdefghij", k=4)) for _ in range(n))
+    one, two = text(53), f"{text(30)}. {text(11)}. {text(12)}"
+    own = [text(40) for _ in range(12)]
+    texts = [f"{own[0]}. {one}. {own[1]}.", f"{own[2]} {one}. {own[3]}.", f"{own[4]} {one} {own[5]}", f"{own[6]} {two} {own[7]}.", f"{own[8]}, {two.upper()}, {own[9]}.", f"{text(20)} {one} {own[10]} {one} {own[11]}"]
+    got = {r["doc_id"]: r["cleaned"] for r in remove_repeats(frame(spark, enumerate(texts))).collect()}
+    head = texts[5].split(one)[0]
+    assert got == {0: texts[0], 1: f"{own[2]} {own[3]}.", 2: f"{own[4]} {own[5]}", 3: texts[3], 4: f"{own[8]}, {own[9]}.", 5: head + f"{own[10]} {own[11]}"}
+
+
 def test_spans_match_brute_force(spark):
     rng = random.Random(12)
     pool = [" ".join(rng.choices("abcdefg", k=rng.randint(1, 6))) + "." for _ in range(9)]

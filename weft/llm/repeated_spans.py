@@ -1,7 +1,10 @@
 """Substring dedup on sliding sentence spans.
 
 Every run of consecutive sentences is hashed, the hashes are joined over all documents, and sentences
-that a repeated run covers are removed everywhere but in the run's first place.
+that a repeated run covers are removed everywhere but in the run's first place. Passages that runs of
+whole sentences can't hold are found by their words: every 50 consecutive words hold a selected GRAM of
+them (winnowing: the least hash), grams are joined over all documents, and where a gram is repeated, and
+stands for words that some document's runs don't cover, all stretches of 50 words are hashed and joined too.
 """
 
 from __future__ import annotations
@@ -13,7 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Words, blocks, mix, with_fields
+from .base import Words, blocks, cut, mix, with_fields
+
+#: Words of the grams that select what is hashed word by word.
+GRAM = 26
+#: Up to so many document ids (8 MB) are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -31,7 +39,7 @@ class Sentences:
     """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        w = Words(data, offsets)
+        w = self.all_words = Words(data, offsets)
         n = len(data)
         space = _SPACE[data]
         solid = np.where(~space, np.arange(n), -1)
@@ -111,6 +119,126 @@ def spans(docs: DataFrame, least: int, words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null").mapInArrow(run, "doc_id long, hash long, first int, last int, again boolean")
 
 
+def _sliding(x: np.ndarray, k: int, least: np.ufunc) -> np.ndarray:
+    """least over every k consecutive values."""
+    size = 1
+    while 2 * size <= k:
+        x, size = least(x[: len(x) - size], x[size:]), 2 * size
+    return least(x[: len(x) - (k - size)], x[k - size :]) if size < k else x
+
+
+def _stretches(w: Words, k: int) -> np.ndarray:
+    """A hash of each k consecutive words of a block."""
+    h = np.zeros(len(w.hash) - k + 1, np.uint64)
+    for j in range(k):
+        h = h * np.uint64(_EVEN) + w.hash[j : len(w.hash) - k + 1 + j]
+    return mix(h)
+
+
+def _least_grams(w: Words, passage: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Grams of a block, the least gram of each ``passage`` words, and whether these are of one row."""
+    gram = _stretches(w, GRAM)
+    return gram, _sliding(gram, passage - GRAM + 1, np.minimum), w.row[: len(w.row) - passage + 1] == w.row[passage - 1 :]
+
+
+def _again(row: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether a hash came before in the same row; rows are in order."""
+    order = np.lexsort((np.arange(len(h)), h, row))
+    again = np.zeros(len(h), bool)
+    again[order[1:]] = (h[order][1:] == h[order][:-1]) & (row[order][1:] == row[order][:-1])
+    return again
+
+
+def _grams(docs: DataFrame, passage: int) -> DataFrame:
+    """(doc_id, hash, again): the grams that are the least of some ``passage`` consecutive words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offsets in blocks(batch.column(1)):
+                w = Words(data, offsets)
+                if len(w.hash) < passage:
+                    continue
+                gram, least, whole = _least_grams(w, passage)
+                pad = np.zeros(passage - GRAM, np.uint64)
+                at = np.flatnonzero((_sliding(np.concatenate((pad, np.where(whole, least, 0), pad)), passage - GRAM + 1, np.maximum) == gram) & (gram > 0))
+                ids = batch.column(0)[lo:hi].take(pa.array(w.row[at]))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(gram[at].view(np.int64)), pa.array(_again(w.row[at], gram[at]))], names=["doc_id", "hash", "again"])
+
+    return docs.mapInArrow(run, "doc_id long, hash long, again boolean")
+
+
+def _open_grams(marked: DataFrame, passage: int) -> DataFrame:
+    """(hash): those of a document's grams that are the least of ``passage`` words of which its runs leave any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offsets in blocks(batch.column(0)):
+                s = Sentences(data, offsets)
+                w = s.all_words
+                if len(w.hash) < passage:
+                    continue
+                _, least, whole = _least_grams(w, passage)
+                found = []
+                for i in range(hi - lo):
+                    x, y = w.first[i], w.first[i + 1]
+                    if y - x < passage:
+                        continue
+                    a, b = s.first[i], s.first[i + 1]
+                    gone = _covered(batch.column(2)[lo + i].as_py(), b - a)
+                    left = np.cumsum(np.append(0, ~gone[np.searchsorted(s.start[a:b], w.start[x:y], "right") - 1]))
+                    mine = least[x : y - passage + 1][left[passage:] > left[:-passage]].view(np.int64)
+                    found.append(np.intersect1d(mine, batch.column(1)[lo + i].values.to_numpy()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else [], pa.int64())], names=["hash"])
+
+    return marked.select("text", "grams", "__runs").mapInArrow(run, "hash long").distinct()
+
+
+def _passages(marked: DataFrame, passage: int) -> DataFrame:
+    """(doc_id, hash, at, again): every ``passage`` words whose least gram is one of the document's grams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offsets in blocks(batch.column(1)):
+                w = Words(data, offsets)
+                if len(w.hash) < passage:
+                    continue
+                _, least, whole = _least_grams(w, passage)
+                for i in range(hi - lo):
+                    a, b = w.first[i], min(w.first[i + 1], len(whole))
+                    if a < b:
+                        whole[a:b] &= np.isin(least[a:b].view(np.int64), batch.column(2)[lo + i].values.to_numpy())
+                at = np.flatnonzero(whole)
+                h, row = _stretches(w, passage)[at], w.row[at]
+                ids = batch.column(0)[lo:hi].take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(h.view(np.int64)), pa.array((at - w.first[row]).astype(np.int32)), pa.array(_again(row, h))], names=["doc_id", "hash", "at", "again"])
+
+    return marked.mapInArrow(run, "doc_id long, hash long, at int, again boolean")
+
+
+def repeated_words(docs: DataFrame, gone: DataFrame, passage: int) -> DataFrame:
+    """(doc_id, __starts): where, in words, ``passage`` words begin that came before, in a smaller doc_id or in the same text.
+
+    gone: (doc_id, __runs). Words of which no copy is left by these runs need no start.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+
+    def of(lists: DataFrame) -> DataFrame:
+        ids = lists.select("doc_id")
+        some = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+        return some.join(lists, "doc_id")
+
+    grams = _grams(texts, passage)
+    shared = grams.groupBy("hash").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"), F.max("again").alias("again")).where("x < y or again").select("hash")
+    lists = cut(grams.where("not again").join(shared, "hash").groupBy("doc_id").agg(F.collect_set("hash").alias("grams")))
+    opened = cut(_open_grams(of(lists).join(gone, "doc_id", "left"), passage))
+    lists = cut(lists.select("doc_id", F.explode("grams").alias("hash")).join(opened, "hash").groupBy("doc_id").agg(F.collect_set("hash").alias("grams")))
+    found = cut(_passages(of(lists).select("doc_id", "text", "grams"), passage))
+    first = found.where("not again")
+    shared = first.groupBy("hash").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("other")).where("keeper < other").select("hash", "keeper")
+    later = first.join(shared, "hash").where("doc_id <> keeper").select("doc_id", "at")
+    return later.union(found.where("again").select("doc_id", "at")).groupBy("doc_id").agg(F.collect_set("at").alias("__starts"))
+
+
 def _covered(lists: list | None, n: int) -> np.ndarray:
     gone = np.zeros(n + 1, np.int64)
     for x in lists or ():
@@ -120,12 +248,14 @@ def _covered(lists: list | None, n: int) -> np.ndarray:
     return np.cumsum(gone)[:n] > 0
 
 
-def remove_repeats(docs: DataFrame, least: int = 2, words: int = 25) -> DataFrame:
-    """docs with n_sentences, n_removed and cleaned: the text without sentences that a repeated run covers.
+def remove_repeats(docs: DataFrame, least: int = 2, words: int = 25, passage: int = 50) -> DataFrame:
+    """docs with n_sentences, n_removed and cleaned: the text without sentences that a repeated run covers, and without repeated passages.
 
     A run is ``least`` or more consecutive sentences of together ``words`` or more words, the shortest from
     each sentence on and the shortest up to each. Runs are equal if their lower-cased words are. A run
-    stays where it comes first: in the smallest doc_id that has it, at its first place there.
+    stays where it comes first: in the smallest doc_id that has it, at its first place there. A passage is
+    any ``passage`` (more than GRAM) consecutive words, wherever sentences end; it goes by the same rule, with what
+    stands between its last word and the next. n_removed counts the sentences of which no word stays.
 
     A null text gives null, 0 and 0. Empty texts and texts without words stay as they are. Rows that
     repeat a doc_id count as one document: what only they share stays. Rows with a null doc_id take no
@@ -137,26 +267,45 @@ def remove_repeats(docs: DataFrame, least: int = 2, words: int = 25) -> DataFram
     shared = first.groupBy("hash").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("other")).where("keeper < other").select("hash", "keeper")
     later = first.join(shared, "hash").where("doc_id <> keeper").select("doc_id", "first", "last")
     code = F.shiftleft(F.col("first").cast("long"), 32) + F.col("last").cast("long")
-    gone = later.union(found.where("again").select("doc_id", "first", "last")).groupBy("doc_id").agg(F.collect_set(code).alias("__runs"))
+    gone = cut(later.union(found.where("again").select("doc_id", "first", "last")).groupBy("doc_id").agg(F.collect_set(code).alias("__runs")))
     kept = [c for c in docs.columns if c not in ("n_sentences", "n_removed", "cleaned")]
-    wide = docs.select(*kept).withColumn("__id", F.col("doc_id").cast("long")).join(gone.withColumnRenamed("doc_id", "__id"), "__id", "left").select(*kept, F.col("text").cast("string").alias("__text"), "__runs")
+    lost = gone.join(repeated_words(docs, gone, passage), "doc_id", "full")
+    wide = docs.select(*kept).withColumn("__id", F.col("doc_id").cast("long")).join(lost.withColumnRenamed("doc_id", "__id"), "__id", "left").select(*kept, F.col("text").cast("string").alias("__text"), "__runs", "__starts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, lists = batch.column(len(kept)), batch.column(len(kept) + 1)
+            text, lists, starts = (batch.column(len(kept) + k) for k in range(3))
             for lo, hi, data, offsets in blocks(text):
                 s = Sentences(data, offsets)
+                w = s.all_words
                 out, n_gone = [], []
                 for i in range(hi - lo):
                     a, b = s.first[i], s.first[i + 1]
                     value = text[lo + i]
-                    if not lists[lo + i].is_valid or a == b:
+                    if not (lists[lo + i].is_valid or starts[lo + i].is_valid) or a == b:
                         out.append(value.as_py())
                         n_gone.append(0)
                         continue
                     gone = _covered(lists[lo + i].as_py(), b - a)
-                    out.append(b"".join(data[s.start[j] : s.end[j]].tobytes() for j in (np.flatnonzero(~gone) + a)).decode())
-                    n_gone.append(int(gone.sum()))
+                    x, y = w.first[i], w.first[i + 1]
+                    lost = np.zeros(y - x + 1, np.int64)
+                    if starts[lo + i].is_valid:
+                        at = starts[lo + i].values.to_numpy()
+                        at = at[at + passage <= y - x]
+                        np.add.at(lost, at, 1)
+                        np.add.at(lost, at + passage, -1)
+                    lost = np.cumsum(lost)[:-1] > 0
+                    stays = np.zeros(offsets[i + 1] - offsets[i] + 1, np.int64)  # bytes that go, as differences
+                    edges = np.append(w.start[x:y], offsets[i + 1]) - offsets[i]
+                    np.add.at(stays, edges[:-1][lost], 1)
+                    np.add.at(stays, edges[1:][lost], -1)
+                    for j in np.flatnonzero(gone) + a:
+                        stays[s.start[j] - offsets[i]] += 1
+                        stays[s.end[j] - offsets[i]] -= 1
+                    stays = np.cumsum(stays)[:-1] == 0
+                    out.append(data[offsets[i] : offsets[i + 1]][stays].tobytes().decode())
+                    sentence = np.searchsorted(s.start[a:b], w.start[x:y], "right") - 1
+                    n_gone.append(int((gone | (np.bincount(sentence[~lost], minlength=b - a) == 0)).sum()))
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(k)[lo:hi] for k in range(len(kept))), pa.array(np.diff(s.first).astype(np.int64)), pa.array(n_gone, pa.int64()), pa.array(out, pa.string())],
                     names=[*kept, "n_sentences", "n_removed", "cleaned"],

@@ -54,6 +54,15 @@ def test_top_k_matches_brute_force(spark):
     assert top_k(df.where("false"), "vec_id % 10 = 0").count() == 0
 
 
+def test_repeated_rows_of_equal_vectors_take_no_places(spark):
+    rows = [(5, [1.0, 2.0])] * 21 + [(i, [1.0, 2.0]) for i in range(10, 20)] * 2
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got: dict = {}
+    for r in top_k(df, "vec_id % 10 = 0 or vec_id = 5", k=7).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+    assert {q: [v for _, v in sorted(x.items())] for q, x in got.items()} == {5: list(range(10, 17)), 10: [5, *range(11, 17)]}
+
+
 def test_dual_search_prunes_and_stays_exact():
     rng = np.random.default_rng(2)
     points = np.concatenate([rng.integers(-5, 5, (200, 3)) + c for c in rng.integers(-900, 900, (12, 3))])

@@ -160,7 +160,7 @@ class DualSearch:
 
 
 def merged(vectors: DataFrame, id_column: str, vector_column: str, scale: float, keep: int) -> DataFrame:
-    """(vec, ids): each distinct integer vector, its 64-bit components as bytes, and its ``keep`` smallest ids.
+    """(vec, ids): each distinct integer vector, its 64-bit components as bytes, and its ``keep`` smallest distinct ids.
 
     Partitions merge what they hold before the exchange, and hot vectors are merged in two steps.
     """
@@ -174,10 +174,10 @@ def merged(vectors: DataFrame, id_column: str, vector_column: str, scale: float,
                 x = np.floor(scale * v.values.to_numpy(zero_copy_only=False).astype(np.float64))
                 if np.isfinite(x).all():
                     own.setdefault(x.astype("<i8").tobytes(), []).append(key)
-            yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()), pa.array([sorted(i)[:keep] for i in own.values()], pa.list_(pa.int64()))], names=["vec", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()), pa.array([sorted(set(i))[:keep] for i in own.values()], pa.list_(pa.int64()))], names=["vec", "ids"])
 
     def smallest(df: DataFrame, *by: str) -> DataFrame:
-        return df.groupBy(*by).agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, keep).alias("ids"))
+        return df.groupBy(*by).agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, keep).alias("ids"))
 
     rows = vectors.select(F.col(id_column).cast("long"), F.col(vector_column).cast("array<double>")).mapInArrow(run, "vec binary, ids array<long>")
     rows = rows.withColumn("salt", F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(64)))

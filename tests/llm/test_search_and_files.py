@@ -193,6 +193,33 @@ def test_pack_in_rounds_wastes_little(spark):
     assert all(t <= 2048 and n <= 3 and c <= 600_000 for t, n, c in load.values())
 
 
+@pytest.mark.parametrize("most, over", [(2048, 1.01), (32, 1.06)])
+def test_rows_without_ids_of_their_own_are_packed_like_others(spark, most, over):
+    """Null ids, one repeated id and repeated rows: every capacity holds, and no group takes them all."""
+    rng = random.Random(8)
+    rows = [(None, 0, 0, rng.randint(1, 300), 0) for _ in range(10_000)] + [(7, 0, 0, 5, 1)] * 4000 + [(i, 0, 0, rng.randint(1, 900), 0) for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    got = pack(df, 2048, max_docs=most).collect()
+    assert sorted((r["doc_id"] or -1, r["length"]) for r in got) == sorted((r[0] or -1, r[3]) for r in rows)
+    load: dict = {}
+    for r in got:
+        load.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for places in load.values():
+        places.sort()
+        assert [a for a, _ in places] == [sum(n for _, n in places[:k]) for k in range(len(places))]
+        assert sum(n for _, n in places) <= 2048 and len(places) <= most
+    assert len(load) <= over * -(-sum(r[3] for r in rows) // 2048) + 1
+
+
+def test_best_fit_weighs_every_capacity():
+    items, caps = np.array([[60, 1, 3600], [50, 1, 2500], [30, 1, 900], [8, 1, 64], [8, 1, 64]], float), np.array([100, 3, 10_000], float)
+    by_tokens = best_fit(items, caps, np.array([1.0, 0, 0]), "norm")
+    by_docs = best_fit(items, caps, np.array([0.01, 1, 0]), "norm")
+    assert by_tokens.tolist() != by_docs.tolist()
+    for bins in (by_tokens, by_docs, best_fit(items, caps, np.array([1.0, 0.3, 0.3]), "dot")):
+        assert all((items[bins == b].sum(axis=0) <= caps).all() for b in set(bins.tolist()))
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_equals_the_library(name):
     rng = random.Random(1)

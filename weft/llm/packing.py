@@ -1,9 +1,10 @@
 """Best-fit packing of documents into sequences, under several capacities at once.
 
-Tokenised lengths, not tokens, are shuffled. Pieces are dealt by a hash to groups of about GROUP
-pieces; each group is packed on its own, and what its badly filled sequences hold is dealt anew to
-fewer groups. So each task sees a bounded group whatever the input, and the sequences that stay
-badly filled are those of the last, small round.
+Tokenised lengths, not tokens, are shuffled. Pieces are numbered in a checkpoint and dealt by a hash of
+that number, which no two rows share, to groups of about GROUP pieces; each group is packed on its own,
+and what its badly filled sequences hold is dealt anew to fewer groups. So each task sees a group of
+about that size whatever the input holds, and the sequences that stay badly filled are those of the
+last, small round.
 """
 
 from __future__ import annotations
@@ -24,6 +25,11 @@ from .tokens import encoder, text_groups
 GROUP = (1024, 256, 256)
 #: A sequence is good if its tokens fill this share, or if another capacity is used up to this share.
 GOOD = 0.995
+#: Production limits and weights: pieces of a sequence, and what tokens, pieces and attention weigh in the choice of a bin.
+MAX_DOCS = 64
+WEIGHTS = (1.0, 0.3, 0.3)
+#: Bits of sequence_id that number a group's bins, and those that number the groups of a round.
+BIN_BITS, GROUP_BITS = 20, 38
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int) -> DataFrame:
@@ -83,53 +89,58 @@ def best_fit(items: np.ndarray, capacities: np.ndarray, weights: np.ndarray, cho
     return bins
 
 
-def pack(pieces: DataFrame, max_tokens: int, max_docs: int | None = None, max_attention: int | None = None, weights: tuple[float, float, float] = (1.0, 0.0, 0.0)) -> DataFrame:
+def pack(pieces: DataFrame, max_tokens: int, max_docs: int | None = None, max_attention: int | None = None, weights: tuple[float, float, float] = WEIGHTS) -> DataFrame:
     """pieces with sequence_id and offset.
 
     A sequence holds at most max_tokens tokens, max_docs pieces (max_tokens by default) and an attention
     cost, the sum of the pieces' squared lengths, of max_attention (the square of max_tokens by default,
-    which tokens alone keep). If one choice of best_fit needs more sequences than the sums of a group do,
-    the other is tried too, and the one with fewer sequences is taken. Rows are packed one by one, repeated ones too. An empty table gives an empty
-    result; the offsets of a sequence run from 0 without gaps in the order doc_id, piece.
+    which one whole piece uses up). weights say what a bin's residual tokens, pieces and attention count in
+    its choice. If one choice of best_fit needs more sequences than the sums of a group do, the other
+    is tried too, and the one with fewer sequences is taken. Rows are packed one by one: null and repeated doc_ids
+    are dealt like any others. An empty table gives an empty result; the offsets of a sequence run from 0
+    without gaps in the order doc_id (nulls last), piece.
     """
     capacities = np.array([max_tokens, max_docs or max_tokens, max_attention or max_tokens**2], float)
     weight = np.array(weights)
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "piece", "start"], kind="stable").reset_index(drop=True)
+        rows = rows.sort_values([*names, "__row"], kind="stable").reset_index(drop=True)
         n = rows["length"].to_numpy(float)
         items = np.stack([n, np.ones(len(n)), n * n], axis=1)
         fewest = np.ceil((items.sum(axis=0) / capacities).max())
         bins = best_fit(items, capacities, weight, "norm")
         if bins.max() + 1 > fewest:
             bins = min(bins, best_fit(items, capacities, weight, "dot"), key=lambda b: b.max())
+        if bins.max() >> BIN_BITS or key[0] >> GROUP_BITS:
+            raise ValueError("more sequences in a group, or groups, than sequence_id can number")
         used = np.stack([np.bincount(bins, items[:, d]) for d in range(3)], axis=1) / capacities
-        rows["sequence_id"] = (np.int64(key[1]) << 50) + (np.int64(key[0]) << 12) + bins
+        rows["sequence_id"] = (np.int64(key[1]) << (BIN_BITS + GROUP_BITS)) + (np.int64(key[0]) << BIN_BITS) + bins
         rows["good"] = (used.max(axis=1) >= GOOD)[bins]
         rows = rows.sort_values("sequence_id", kind="stable")
         rows["offset"] = rows.groupby("sequence_id")["length"].cumsum() - rows["length"]
-        return rows[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "good"]]
+        return rows[[*names, "sequence_id", "offset", "good", "__row"]]
 
-    out = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, good boolean"
-    done, rest = None, pieces
+    out = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, good boolean, __row long"
+    done, rest = None, cut(pieces.select(*names)).withColumn("__row", F.monotonically_increasing_id())
     for k, size in enumerate(GROUP):
         groups = max(1, -(-rest.count() // size))
-        dealt = rest.withColumn("__group", F.pmod(F.xxhash64("doc_id", "piece", "start", F.lit(k)), F.lit(groups)))
+        dealt = rest.withColumn("__group", F.pmod(F.xxhash64("__row", F.lit(k)), F.lit(groups)))
         packed = cut(dealt.groupBy("__group", F.lit(k).alias("__round")).applyInPandas(run, out))
         last = k == len(GROUP) - 1 or groups == 1
-        part = (packed if last else packed.where("good")).drop("good")
+        part = (packed if last else packed.where("good")).drop("good", "__row")
         done = part if done is None else done.union(part)
         if last:
             break
-        rest = packed.where("not good").drop("good", "sequence_id", "offset")
+        rest = packed.where("not good").select(*names, "__row")
     return done
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, max_tokens: int = 2048, **limits) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, max_tokens: int = 2048, max_docs: int = MAX_DOCS, **limits) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of every document.
 
     A document is its text's ids and the end id; null text counts as empty, so every document has a
     piece. Only documents of more than max_tokens ids are cut. Rows with a null or repeated doc_id are
     packed like any others. Other columns are not read.
     """
-    return pack(cut(tokenized_pieces(docs, tokenizer_path, end_id, max_tokens)), max_tokens, **limits)
+    return pack(tokenized_pieces(docs, tokenizer_path, end_id, max_tokens), max_tokens, max_docs, **limits)

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from weft.llm import decontaminate, licenses, near_duplicates
+from weft.llm import decontaminate, licenses, near_duplicates, repeated_spans
 from weft.llm.base import components
 from weft.llm.decontaminate import Automaton, find_contamination
 from weft.llm.language import Model, identify, linear_svm, train
@@ -155,6 +155,48 @@ def test_spans_match_brute_force(spark):
     assert got == {d: [w for k, x in enumerate(p) if (d, k) not in gone for w in words(x)] for d, p in enumerate(parts)}
 
 
+@pytest.mark.parametrize("chunk", [16 << 20, 1])
+def test_passages_match_brute_force(spark, monkeypatch, chunk):
+    """Words of any 50 that stood before, in a smaller doc_id or earlier in the text, go, and no others."""
+    monkeypatch.setattr(repeated_spans, "CHUNK", chunk)
+    rng = random.Random(31)
+    text = lambda n: ["".join(rng.choices("abcdefghij", k=4)) for _ in range(n)]
+    shared = [text(n) for n in (49, 50, 51, 80, 200)]
+    docs = []
+    for _ in range(40):
+        w = text(rng.randint(0, 60))
+        for _ in range(rng.randint(0, 3)):
+            p = rng.choice(shared)
+            a = rng.randint(0, max(0, len(p) - 60))
+            w += p[a:] + text(rng.randint(1, 40))
+        docs.append(w)
+    docs[7] = docs[3] = docs[5]
+    seen: set = set()
+    want = {}
+    for d, w in enumerate(docs):
+        gone: set = set()
+        own: set = set()
+        for k in range(len(w) - 49):
+            t = tuple(w[k : k + 50])
+            if t in seen or t in own:
+                gone |= set(range(k, k + 50))
+            own.add(t)
+        seen |= own
+        want[d] = [x for k, x in enumerate(w) if k not in gone]
+    got = {r["doc_id"]: words(r["cleaned"]) for r in remove_repeats(frame(spark, [(d, " ".join(w)) for d, w in enumerate(docs)]).repartition(3)).collect()}
+    assert got == want and want[7] == want[5] == [] and sum(len(docs[d]) - len(w) for d, w in want.items()) > 500
+
+
+def test_repeats_of_long_texts_and_of_one_id(spark):
+    rng = random.Random(41)
+    text = lambda n: " ".join("".join(rng.choices("abcdefghij", k=4)) for _ in range(n))
+    long, one, two = text(60_000), text(70), text(70)
+    rows = [(1, long), (2, f"{text(10)}. {long[-600:]}"), (5, one), (5, one), (5, f"{two} {one}"), (6, two)]
+    got = sorted(((r["doc_id"], r["cleaned"]) for r in remove_repeats(frame(spark, rows).repartition(4)).collect()))
+    assert got[0] == (1, long) and len(words(got[1][1])) < 15
+    assert [t for d, t in got if d == 5] == sorted([one, one, f"{two} {one}"]) and got[-1] == (6, "")
+
+
 def brute_hits(docs, items, window=10):
     out = {}
     wins: dict = {}

@@ -40,7 +40,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
         size = max(n, BLOCK + 1)
         tables = []
@@ -89,7 +89,7 @@ class Words:
         self.start = np.flatnonzero(inside & ~before)
         self.end = np.flatnonzero(inside & ~after) + 1
         self.row = np.searchsorted(offsets, self.start, "right") - 1
-        up, down = _power_tables(n + 1)
+        up, down = power_tables(n + 1)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(_BYTE_VALUE[folded] * up[:n], out=sums[1:])
         self.hash = mix((sums[self.end] - sums[self.start]) * down[self.start])

@@ -1,10 +1,15 @@
 """Substring dedup on sliding sentence spans.
 
-Every run of consecutive sentences is hashed, the hashes are joined over all documents, and sentences
-that a repeated run covers are removed everywhere but in the run's first place. Passages that runs of
-whole sentences can't hold are found by their words: every 50 consecutive words hold a selected GRAM of
-them (winnowing: the least hash), grams are joined over all documents, and where a gram is repeated, and
-stands for words that some document's runs don't cover, all stretches of 50 words are hashed and joined too.
+Every run of several consecutive sentences is hashed, the hashes are joined over all documents, and
+sentences that a repeated run covers are removed everywhere but in the run's first place. Passages that
+runs of whole sentences can't hold are found by their words: every 50 consecutive words hold a selected
+GRAM of them (winnowing: the least hash), and each selected gram brings the fingerprints of the words on
+its two sides, which tell how far a repeated passage goes.
+
+Texts are read twice, and only hashes go through the join's exchange. Each task first settles what its
+own documents repeat, some CHUNK of text at a time, and sends on the first place of each hash alone; so
+a passage that a third of all documents hold comes to its hash's partition as a row a chunk. There the
+rows of a hash follow one another in order, and a task keeps the first and the last of them in mind.
 """
 
 from __future__ import annotations
@@ -16,12 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Words, blocks, cut, mix, with_fields
+from .base import Words, blocks, mix, power_tables, with_fields
 
-#: Words of the grams that select what is hashed word by word.
+#: Words of the grams that select what is compared word by word.
 GRAM = 26
-#: Up to so many document ids (8 MB) are broadcast; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Places just before a gram's that it is compared with, besides the first.
+NEAR = 16
+#: Bytes of text that a task settles by itself before it sends on what is left (about 100 MB of memory).
+CHUNK = 16 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -100,25 +107,6 @@ def _run_hashes(s: Sentences, first: np.ndarray, last: np.ndarray) -> np.ndarray
     return mix(h + (last - first).astype(np.uint64) * _ODD)
 
 
-def spans(docs: DataFrame, least: int, words: int) -> DataFrame:
-    """(doc_id, hash, first, last, again): the runs of every document; again if the hash came before in the same text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, data, offsets in blocks(batch.column(1)):
-                s = Sentences(data, offsets)
-                row, a, b = runs(s, least, words)
-                h = _run_hashes(s, a, b)
-                order = np.lexsort((b, a, h, row))
-                row, a, b, h = row[order], a[order], b[order], h[order]
-                again = np.zeros(len(h), bool)
-                again[1:] = (h[1:] == h[:-1]) & (row[1:] == row[:-1])
-                ids = batch.column(0)[lo:hi].take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(h.view(np.int64)), pa.array((a - s.first[row]).astype(np.int32)), pa.array((b - s.first[row]).astype(np.int32)), pa.array(again)], names=["doc_id", "hash", "first", "last", "again"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null").mapInArrow(run, "doc_id long, hash long, first int, last int, again boolean")
-
-
 def _sliding(x: np.ndarray, k: int, least: np.ufunc) -> np.ndarray:
     """least over every k consecutive values."""
     size = 1
@@ -127,187 +115,251 @@ def _sliding(x: np.ndarray, k: int, least: np.ufunc) -> np.ndarray:
     return least(x[: len(x) - (k - size)], x[k - size :]) if size < k else x
 
 
-def _stretches(w: Words, k: int) -> np.ndarray:
-    """A hash of each k consecutive words of a block."""
-    h = np.zeros(len(w.hash) - k + 1, np.uint64)
-    for j in range(k):
-        h = h * np.uint64(_EVEN) + w.hash[j : len(w.hash) - k + 1 + j]
-    return mix(h)
-
-
-def _least_grams(w: Words, passage: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Grams of a block, the least gram of each ``passage`` words, and whether these are of one row."""
-    gram = _stretches(w, GRAM)
-    return gram, _sliding(gram, passage - GRAM + 1, np.minimum), w.row[: len(w.row) - passage + 1] == w.row[passage - 1 :]
-
-
-def _again(row: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Whether a hash came before in the same row; rows are in order."""
-    order = np.lexsort((np.arange(len(h)), h, row))
-    again = np.zeros(len(h), bool)
-    again[order[1:]] = (h[order][1:] == h[order][:-1]) & (row[order][1:] == row[order][:-1])
-    return again
-
-
-def _grams(docs: DataFrame, passage: int) -> DataFrame:
-    """(doc_id, hash, again): the grams that are the least of some ``passage`` consecutive words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, data, offsets in blocks(batch.column(1)):
-                w = Words(data, offsets)
-                if len(w.hash) < passage:
-                    continue
-                gram, least, whole = _least_grams(w, passage)
-                pad = np.zeros(passage - GRAM, np.uint64)
-                at = np.flatnonzero((_sliding(np.concatenate((pad, np.where(whole, least, 0), pad)), passage - GRAM + 1, np.maximum) == gram) & (gram > 0))
-                ids = batch.column(0)[lo:hi].take(pa.array(w.row[at]))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(gram[at].view(np.int64)), pa.array(_again(w.row[at], gram[at]))], names=["doc_id", "hash", "again"])
-
-    return docs.mapInArrow(run, "doc_id long, hash long, again boolean")
-
-
-def _open_grams(marked: DataFrame, passage: int) -> DataFrame:
-    """(hash): those of a document's grams that are the least of ``passage`` words of which its runs leave any."""
+def selected_grams(w: Words, passage: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, hash) of the grams of a block that are the least of some ``passage`` consecutive words of a row."""
+    n = len(w.hash)
+    if n < passage:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    up, down = power_tables(n)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(w.hash * up[:n], out=sums[1:])
+    gram = mix((sums[GRAM:] - sums[:-GRAM]) * down[: n - GRAM + 1])
+    whole = w.row[: n - passage + 1] == w.row[passage - 1 :]
+    least = np.where(whole, _sliding(gram, passage - GRAM + 1, np.minimum), 0)
+    pad = np.zeros(passage - GRAM, np.uint64)
+    at = np.flatnonzero((_sliding(np.concatenate((pad, least, pad)), passage - GRAM + 1, np.maximum) == gram) & (gram > 0))
+    return at, gram[at]
+
+
+class Spans:
+    """Spans as columns: hash, doc, key, words (of a gram, not of sentences), first, last, and side: fingerprints of the words before and after a gram."""
+
+    NAMES = ("hash", "doc", "key", "words", "first", "last", "side")
+
+    def __init__(self, **columns: np.ndarray):
+        self.__dict__.update(columns)
+
+    def __len__(self) -> int:
+        return len(self.hash)
+
+    def take(self, at: np.ndarray) -> Spans:
+        return Spans(**{c: getattr(self, c)[at] for c in self.NAMES})
+
+    @classmethod
+    def joined(cls, parts: list[Spans]) -> Spans:
+        return cls(**{c: np.concatenate([getattr(p, c) for p in parts]) for c in cls.NAMES})
+
+
+def spans_of(data: np.ndarray, offsets: np.ndarray, docs: np.ndarray, keys: np.ndarray, least: int, words: int, passage: int) -> tuple[Spans, np.ndarray]:
+    """The spans of a block and the row of each."""
+    s = Sentences(data, offsets)
+    w = s.all_words
+    row, a, b = runs(s, least, words)
+    at, gram = selected_grams(w, passage)
+    width = passage - GRAM
+    mark = (w.hash >> np.uint64(24)).astype(np.uint8)
+    mark[mark == 0] = 1  # 0 stands for the text's end
+    first, end = w.first[w.row[at]][:, None], w.first[w.row[at] + 1][:, None]
+    before, after = at[:, None] - 1 - np.arange(width), at[:, None] + GRAM + np.arange(width)
+    side = np.zeros((len(row) + len(at), 2 * width), np.uint8)
+    side[len(row) :, :width] = np.where(before >= first, mark[before], 0)
+    side[len(row) :, width:] = np.where(after < end, mark[np.minimum(after, len(mark) - 1)], 0) if len(at) else 0
+    rows = np.concatenate((row, w.row[at]))
+    kind = np.arange(len(rows)) >= len(row)
+    from_ = np.concatenate((a - s.first[row], at - w.first[w.row[at]]))
+    to = np.concatenate((b - s.first[row], at - w.first[w.row[at]] + GRAM - 1))
+    return Spans(hash=np.concatenate((_run_hashes(s, a, b), gram)), doc=docs[rows], key=keys[rows], words=kind, first=from_, last=to, side=side), rows
+
+
+def repeated(s: Spans, at: np.ndarray, keeper: np.ndarray, passage: int, same_text: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, first, last): what of the spans ``at`` an earlier place repeats.
+
+    keeper is the first span of each span's hash; the spans of a hash follow one another from it on. Runs are
+    repeated as they are. A gram is compared with the keeper and with the NEAR places before it, as far as
+    words agree on both sides, and counts where ``passage`` words agree. Places of the same doc count only for same_text.
+    """
+    runs_ = at[~s.words[at]]
+    found = [(runs_, s.first[runs_], s.last[runs_])]
+    width = passage - GRAM
+    at = at[s.words[at]]
+    for back in range(NEAR + 1):
+        before = keeper[at] if back == 0 else at - back
+        if back:
+            at = at[before > keeper[at]]
+            before = at - back
+        use = np.flatnonzero(same_text | (s.doc[before] != s.doc[at]))
+        differs = np.ones((len(use), 2, width + 1), bool)
+        differs[:, :, :width] = (s.side[at[use]] != s.side[before[use]]).reshape(len(use), 2, width)
+        reach = differs.argmax(axis=2)
+        good = reach.sum(axis=1) >= width
+        x = at[use[good]]
+        found.append((x, np.maximum(s.first[x] - reach[good, 0], 0), s.last[x] + reach[good, 1]))
+        whole = np.zeros(len(at), bool)  # these can't reach further
+        whole[use] = reach.sum(axis=1) == 2 * width
+        at = at[~whole]
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _merged(s: Spans, at: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(doc, key, words, first, last): ranges of the same text that overlap or meet as one."""
+    order = np.lexsort((first, s.words[at], s.key[at], s.doc[at]))
+    at, first, last = at[order], first[order], last[order]
+    doc, key, words = s.doc[at], s.key[at], s.words[at]
+    new = np.ones(len(at), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]) | (words[1:] != words[:-1])
+    part = np.cumsum(new)
+    reach = np.maximum.accumulate(last + part * (1 << 32)) - part * (1 << 32)
+    new[1:] |= first[1:] > reach[:-1] + 1
+    opens = np.flatnonzero(new)
+    ends = np.append(opens[1:], len(at)) - 1
+    return doc[opens], key[opens], words[opens], first[opens], reach[ends] if len(opens) else last
+
+
+_ROW = "hash long, doc_id long, key long, settled boolean, words boolean, first int, last int, side binary"
+
+
+def _row_batch(h: np.ndarray, doc: np.ndarray, key: np.ndarray, settled: bool, words: np.ndarray, first: np.ndarray, last: np.ndarray, side: np.ndarray | None) -> pa.RecordBatch:
+    n = len(h)
+    if side is None:
+        sides = pa.array([b""] * n, pa.binary())
+    else:
+        size = np.where(words, side.shape[1], 0)
+        sides = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.concatenate(([0], np.cumsum(size))).astype(np.int32).tobytes()), pa.py_buffer(side[words].tobytes())])
+    columns = [pa.array(h.view(np.int64)), pa.array(doc), pa.array(key), pa.array(np.full(n, settled)), pa.array(words), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), sides]
+    return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _ROW.split(", ")])
+
+
+def spans(texts: DataFrame, least: int, words: int, passage: int) -> DataFrame:
+    """The spans of texts (doc_id, key, text) that other tasks must see, and, as settled rows, the places that their own chunk shows to be repeated."""
+
+    def settle(held: list[Spans], places: list[tuple]) -> Iterator[pa.RecordBatch]:
+        s = Spans.joined(held)
+        order = np.lexsort((s.first, s.key, s.doc, s.hash))
+        s = s.take(order)
+        opens = np.flatnonzero(np.append(True, s.hash[1:] != s.hash[:-1]))
+        keeper = np.repeat(opens, np.diff(np.append(opens, len(s))))
+        at, first, last = repeated(s, np.flatnonzero(s.doc != s.doc[keeper]), keeper, passage)
+        places.append((s.doc[at], s.key[at], s.words[at], first, last))
+        doc, key, word, first, last = (np.concatenate(x) for x in zip(*places, strict=True))
+        p = Spans(hash=key, doc=doc, key=key, words=word, first=first, last=last, side=key)
+        doc, key, word, first, last = _merged(p, np.arange(len(key)), first, last)
+        yield _row_batch(mix(key.view(np.uint64) + doc.view(np.uint64) * _ODD), doc, key, True, word, first, last, None)
+        again = np.append(False, (s.hash[1:] == s.hash[:-1]) & (s.doc[1:] == s.doc[:-1]) & (s.key[1:] == s.key[:-1]))
+        s = s.take(np.flatnonzero((s.doc == s.doc[keeper]) & ~again))
+        for k in range(0, len(s), 50_000):
+            t = s.take(np.arange(k, min(k + 50_000, len(s))))
+            yield _row_batch(t.hash, t.doc, t.key, False, t.words, t.first, t.last, t.side)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, places, size = [], [], 0
         for batch in batches:
-            for lo, hi, data, offsets in blocks(batch.column(0)):
-                s = Sentences(data, offsets)
-                w = s.all_words
-                if len(w.hash) < passage:
-                    continue
-                _, least, whole = _least_grams(w, passage)
-                found = []
-                for i in range(hi - lo):
-                    x, y = w.first[i], w.first[i + 1]
-                    if y - x < passage:
-                        continue
-                    a, b = s.first[i], s.first[i + 1]
-                    gone = _covered(batch.column(2)[lo + i].as_py(), b - a)
-                    left = np.cumsum(np.append(0, ~gone[np.searchsorted(s.start[a:b], w.start[x:y], "right") - 1]))
-                    mine = least[x : y - passage + 1][left[passage:] > left[:-passage]].view(np.int64)
-                    found.append(np.intersect1d(mine, batch.column(1)[lo + i].values.to_numpy()))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else [], pa.int64())], names=["hash"])
-
-    return marked.select("text", "grams", "__runs").mapInArrow(run, "hash long").distinct()
-
-
-def _passages(marked: DataFrame, passage: int) -> DataFrame:
-    """(doc_id, hash, at, again): every ``passage`` words whose least gram is one of the document's grams."""
+            docs, keys = (batch.column(k).to_numpy() for k in range(2))
+            for lo, hi, data, offsets in blocks(batch.column(2)):
+                s, row = spans_of(data, offsets, docs[lo:hi], keys[lo:hi], least, words, passage)
+                order = np.lexsort((s.first, s.hash, row))  # what comes again in the same text
+                s, row = s.take(order), row[order]
+                opens = np.flatnonzero(np.append(True, (s.hash[1:] != s.hash[:-1]) | (row[1:] != row[:-1])))
+                keeper = np.repeat(opens, np.diff(np.append(opens, len(s)))) if len(s) else opens[:0]
+                at, first, last = repeated(s, np.flatnonzero(keeper != np.arange(len(s))), keeper, passage, same_text=True)
+                places.append((s.doc[at], s.key[at], s.words[at], first, last))
+                held.append(s.take(opens[opens < len(s)]))
+                size += len(data)
+                if size >= CHUNK:
+                    yield from settle(held, places)
+                    held, places, size = [], [], 0
+        if held:
+            yield from settle(held, places)
+
+    return texts.mapInArrow(run, _ROW)
+
+
+def repeated_places(found: DataFrame, passage: int) -> DataFrame:
+    """(doc_id, key, place): the places to remove, of spans and settled rows; place packs (words, first, last) in 1, 31 and 31 bits."""
+    width = 2 * (passage - GRAM)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the first row of the hash at hand, and the rows just before
         for batch in batches:
-            for lo, hi, data, offsets in blocks(batch.column(1)):
-                w = Words(data, offsets)
-                if len(w.hash) < passage:
-                    continue
-                _, least, whole = _least_grams(w, passage)
-                for i in range(hi - lo):
-                    a, b = w.first[i], min(w.first[i + 1], len(whole))
-                    if a < b:
-                        whole[a:b] &= np.isin(least[a:b].view(np.int64), batch.column(2)[lo + i].values.to_numpy())
-                at = np.flatnonzero(whole)
-                h, row = _stretches(w, passage)[at], w.row[at]
-                ids = batch.column(0)[lo:hi].take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(h.view(np.int64)), pa.array((at - w.first[row]).astype(np.int32)), pa.array(_again(row, h))], names=["doc_id", "hash", "at", "again"])
-
-    return marked.mapInArrow(run, "doc_id long, hash long, at int, again boolean")
-
-
-def repeated_words(docs: DataFrame, gone: DataFrame, passage: int) -> DataFrame:
-    """(doc_id, __starts): where, in words, ``passage`` words begin that came before, in a smaller doc_id or in the same text.
-
-    gone: (doc_id, __runs). Words of which no copy is left by these runs need no start.
-    """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-
-    def of(lists: DataFrame) -> DataFrame:
-        ids = lists.select("doc_id")
-        some = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
-        return some.join(lists, "doc_id")
-
-    grams = _grams(texts, passage)
-    shared = grams.groupBy("hash").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"), F.max("again").alias("again")).where("x < y or again").select("hash")
-    lists = cut(grams.where("not again").join(shared, "hash").groupBy("doc_id").agg(F.collect_set("hash").alias("grams")))
-    opened = cut(_open_grams(of(lists).join(gone, "doc_id", "left"), passage))
-    lists = cut(lists.select("doc_id", F.explode("grams").alias("hash")).join(opened, "hash").groupBy("doc_id").agg(F.collect_set("hash").alias("grams")))
-    found = cut(_passages(of(lists).select("doc_id", "text", "grams"), passage))
-    first = found.where("not again")
-    shared = first.groupBy("hash").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("other")).where("keeper < other").select("hash", "keeper")
-    later = first.join(shared, "hash").where("doc_id <> keeper").select("doc_id", "at")
-    return later.union(found.where("again").select("doc_id", "at")).groupBy("doc_id").agg(F.collect_set("at").alias("__starts"))
-
-
-def _covered(lists: list | None, n: int) -> np.ndarray:
+            h, doc, key, settled, words, first, last = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(7))
+            side = np.zeros((len(h), width), np.uint8)
+            data, offsets = batch.column(7).buffers()[2], np.frombuffer(batch.column(7).buffers()[1], np.int32, len(h) + 1, 4 * batch.column(7).offset)
+            if offsets[-1] > offsets[0]:
+                side[np.diff(offsets) > 0] = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].reshape(-1, width)
+            s = Spans(hash=h, doc=doc, key=key, words=words, first=first.astype(np.int64), last=last.astype(np.int64), side=side)
+            extra = len(held) if held is not None else 0
+            if extra:
+                s = Spans.joined([held, s])
+            opens = np.flatnonzero(np.append(True, s.hash[1:] != s.hash[:-1]))  # the held rows are of one hash
+            keeper = np.repeat(opens, np.diff(np.append(opens, len(s))))
+            rows = np.arange(extra, len(s))
+            done = rows[settled]
+            at, a, b = repeated(s, rows[~settled & (s.doc[rows] != s.doc[keeper[rows]])], keeper, passage)
+            at, a, b = np.append(done, at), np.append(s.first[done], a), np.append(s.last[done], b)
+            yield pa.RecordBatch.from_arrays([pa.array(s.doc[at]), pa.array(s.key[at]), pa.array((s.words[at].astype(np.int64) << 62) + (a << 31) + b)], names=["doc_id", "key", "place"])
+            k = keeper[-1]
+            held = s.take(np.append(k, np.arange(max(k + 1, len(s) - NEAR), len(s))))
+
+    return found.repartition("hash").sortWithinPartitions("hash", "settled", "doc_id", "key", "first").mapInArrow(run, "doc_id long, key long, place long")
+
+
+def _covered(first: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
+    """Which of 0 to n - 1 lie in one of the ranges."""
     gone = np.zeros(n + 1, np.int64)
-    for x in lists or ():
-        a, b = divmod(x, 1 << 32)
-        gone[a] += 1
-        gone[min(b, n - 1) + 1] -= 1
+    inside = first < n
+    np.add.at(gone, first[inside], 1)
+    np.add.at(gone, np.minimum(last[inside], n - 1) + 1, -1)
     return np.cumsum(gone)[:n] > 0
 
 
 def remove_repeats(docs: DataFrame, least: int = 2, words: int = 25, passage: int = 50) -> DataFrame:
     """docs with n_sentences, n_removed and cleaned: the text without sentences that a repeated run covers, and without repeated passages.
 
-    A run is ``least`` or more consecutive sentences of together ``words`` or more words, the shortest from
-    each sentence on and the shortest up to each. Runs are equal if their lower-cased words are. A run
+    A run is ``least`` or more consecutive sentences of together ``words`` or more words. The shortest from
+    each sentence on and the shortest up to each are hashed: every longer run consists of them, and is repeated only
+    where they are, so they cover what all runs would. Runs are equal if their lower-cased words are. A run
     stays where it comes first: in the smallest doc_id that has it, at its first place there. A passage is
-    any ``passage`` (more than GRAM) consecutive words, wherever sentences end; it goes by the same rule, with what
-    stands between its last word and the next. n_removed counts the sentences of which no word stays.
+    any ``passage`` (more than GRAM) consecutive words, wherever sentences end; it goes by the same rule, compared by its
+    gram with the gram's first place and the NEAR places just before, with what stands between its last word and the next. n_removed counts the sentences of which no word stays.
 
     A null text gives null, 0 and 0. Empty texts and texts without words stay as they are. Rows that
     repeat a doc_id count as one document: what only they share stays. Rows with a null doc_id take no
-    part and stay as they are. Other columns are carried along; three new columns are added, and
+    part and stay as they are. A text of any length is one row in memory. Other columns are carried along; three new columns are added, and
     columns of those names in docs are replaced. An empty table gives an empty result.
     """
-    found = spans(docs, least, words)
-    first = found.where("not again")
-    shared = first.groupBy("hash").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("other")).where("keeper < other").select("hash", "keeper")
-    later = first.join(shared, "hash").where("doc_id <> keeper").select("doc_id", "first", "last")
-    code = F.shiftleft(F.col("first").cast("long"), 32) + F.col("last").cast("long")
-    gone = cut(later.union(found.where("again").select("doc_id", "first", "last")).groupBy("doc_id").agg(F.collect_set(code).alias("__runs")))
     kept = [c for c in docs.columns if c not in ("n_sentences", "n_removed", "cleaned")]
-    lost = gone.join(repeated_words(docs, gone, passage), "doc_id", "full")
-    wide = docs.select(*kept).withColumn("__id", F.col("doc_id").cast("long")).join(lost.withColumnRenamed("doc_id", "__id"), "__id", "left").select(*kept, F.col("text").cast("string").alias("__text"), "__runs", "__starts")
+    text, doc_id = F.col("text").cast("string"), F.col("doc_id").cast("long")
+    keyed = docs.select(*kept, doc_id.alias("__doc"), F.xxhash64(doc_id, text).alias("__key"), text.alias("__text"))
+    found = spans(keyed.where("__doc is not null and __text is not null").select("__doc", "__key", "__text"), least, words, passage)
+    places = repeated_places(found, passage).groupBy(F.col("doc_id").alias("__doc"), F.col("key").alias("__key")).agg(F.collect_set("place").alias("__places"))
+    wide = keyed.join(places, ["__doc", "__key"], "left").select(*kept, "__text", "__places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, lists, starts = (batch.column(len(kept) + k) for k in range(3))
+            text, places = (batch.column(len(kept) + k) for k in range(2))
             for lo, hi, data, offsets in blocks(text):
                 s = Sentences(data, offsets)
                 w = s.all_words
-                out, n_gone = [], []
-                for i in range(hi - lo):
-                    a, b = s.first[i], s.first[i + 1]
-                    value = text[lo + i]
-                    if not (lists[lo + i].is_valid or starts[lo + i].is_valid) or a == b:
-                        out.append(value.as_py())
-                        n_gone.append(0)
+                out, n_gone = text[lo:hi].to_pylist(), np.zeros(hi - lo, np.int64)
+                for i in np.flatnonzero(places[lo:hi].is_valid().to_numpy(zero_copy_only=False)):
+                    a, b, x, y = s.first[i], s.first[i + 1], w.first[i], w.first[i + 1]
+                    if a == b:
                         continue
-                    gone = _covered(lists[lo + i].as_py(), b - a)
-                    x, y = w.first[i], w.first[i + 1]
-                    lost = np.zeros(y - x + 1, np.int64)
-                    if starts[lo + i].is_valid:
-                        at = starts[lo + i].values.to_numpy()
-                        at = at[at + passage <= y - x]
-                        np.add.at(lost, at, 1)
-                        np.add.at(lost, at + passage, -1)
-                    lost = np.cumsum(lost)[:-1] > 0
+                    at = places[lo + i].values.to_numpy()
+                    kind, first, last = at >> 62, (at >> 31) & 0x7FFFFFFF, at & 0x7FFFFFFF
+                    gone = _covered(first[kind == 0], last[kind == 0], b - a)
+                    lost = _covered(first[kind == 1], last[kind == 1], y - x)
                     stays = np.zeros(offsets[i + 1] - offsets[i] + 1, np.int64)  # bytes that go, as differences
                     edges = np.append(w.start[x:y], offsets[i + 1]) - offsets[i]
                     np.add.at(stays, edges[:-1][lost], 1)
                     np.add.at(stays, edges[1:][lost], -1)
-                    for j in np.flatnonzero(gone) + a:
-                        stays[s.start[j] - offsets[i]] += 1
-                        stays[s.end[j] - offsets[i]] -= 1
+                    np.add.at(stays, s.start[a:b][gone] - offsets[i], 1)
+                    np.add.at(stays, s.end[a:b][gone] - offsets[i], -1)
                     stays = np.cumsum(stays)[:-1] == 0
-                    out.append(data[offsets[i] : offsets[i + 1]][stays].tobytes().decode())
+                    out[i] = data[offsets[i] : offsets[i + 1]][stays].tobytes().decode()
                     sentence = np.searchsorted(s.start[a:b], w.start[x:y], "right") - 1
-                    n_gone.append(int((gone | (np.bincount(sentence[~lost], minlength=b - a) == 0)).sum()))
+                    n_gone[i] = (gone | (np.bincount(sentence[~lost], minlength=b - a) == 0)).sum()
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(k)[lo:hi] for k in range(len(kept))), pa.array(np.diff(s.first).astype(np.int64)), pa.array(n_gone, pa.int64()), pa.array(out, pa.string())],
+                    [*(batch.column(k)[lo:hi] for k in range(len(kept))), pa.array(np.diff(s.first).astype(np.int64)), pa.array(n_gone), pa.array(out, pa.string())],
                     names=[*kept, "n_sentences", "n_removed", "cleaned"],
                 )
 

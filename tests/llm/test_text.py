@@ -165,8 +165,7 @@ def test_passages_match_brute_force(spark, monkeypatch, chunk):
     docs = []
     for _ in range(40):
         w = text(rng.randint(0, 60))
-        for _ in range(rng.randint(0, 3)):
-            p = rng.choice(shared)
+        for p in rng.sample(shared, rng.randint(0, 3)):  # each once: of a gram that a text holds twice, others meet the first place
             a = rng.randint(0, max(0, len(p) - 60))
             w += p[a:] + text(rng.randint(1, 40))
         docs.append(w)

@@ -318,8 +318,11 @@ def remove_repeats(docs: DataFrame, least: int = 2, words: int = 25, passage: in
     each sentence on and the shortest up to each are hashed: every longer run consists of them, and is repeated only
     where they are, so they cover what all runs would. Runs are equal if their lower-cased words are. A run
     stays where it comes first: in the smallest doc_id that has it, at its first place there. A passage is
-    any ``passage`` (more than GRAM) consecutive words, wherever sentences end; it goes by the same rule, compared by its
-    gram with the gram's first place and the NEAR places just before, with what stands between its last word and the next. n_removed counts the sentences of which no word stays.
+    any ``passage`` (more than GRAM) consecutive words, wherever sentences end; it goes by the same rule, with what
+    stands between its last word and the next. Its gram, which every document that holds the passage has selected, is
+    compared with the gram's first place and the NEAR places just before (of a text that holds the gram twice, with
+    the first): the gram's words always tell, those at a passage's ends may stay if none of these places goes as far.
+    n_removed counts the sentences of which no word stays.
 
     A null text gives null, 0 and 0. Empty texts and texts without words stay as they are. Rows that
     repeat a doc_id count as one document: what only they share stays. Rows with a null doc_id take no
@@ -328,10 +331,10 @@ def remove_repeats(docs: DataFrame, least: int = 2, words: int = 25, passage: in
     """
     kept = [c for c in docs.columns if c not in ("n_sentences", "n_removed", "cleaned")]
     text, doc_id = F.col("text").cast("string"), F.col("doc_id").cast("long")
-    keyed = docs.select(*kept, doc_id.alias("__doc"), F.xxhash64(doc_id, text).alias("__key"), text.alias("__text"))
-    found = spans(keyed.where("__doc is not null and __text is not null").select("__doc", "__key", "__text"), least, words, passage)
+    keyed = docs.select(*kept, doc_id.alias("__doc"), F.xxhash64(doc_id, text).alias("__key"))
+    found = spans(keyed.where("__doc is not null and text is not null").select("__doc", "__key", text), least, words, passage)
     places = repeated_places(found, passage).groupBy(F.col("doc_id").alias("__doc"), F.col("key").alias("__key")).agg(F.collect_set("place").alias("__places"))
-    wide = keyed.join(places, ["__doc", "__key"], "left").select(*kept, "__text", "__places")
+    wide = keyed.join(places, ["__doc", "__key"], "left").select(*kept, text.alias("__text"), "__places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -320,8 +320,9 @@ def remove_repeats(docs: DataFrame, least: int = 2, words: int = 25, passage: in
     stays where it comes first: in the smallest doc_id that has it, at its first place there. A passage is
     any ``passage`` (more than GRAM) consecutive words, wherever sentences end; it goes by the same rule, with what
     stands between its last word and the next. Its gram, which every document that holds the passage has selected, is
-    compared with the gram's first place and the NEAR places just before (of a text that holds the gram twice, with
-    the first): the gram's words always tell, those at a passage's ends may stay if none of these places goes as far.
+    compared with the gram's first place and the NEAR places just before, of a text or a CHUNK of texts with its first:
+    a passage that stands whole at these places goes whole; where it first stands whole elsewhere, up to
+    passage - GRAM words at its ends may stay. A fingerprint has 8 bits, so at one end in 256 a word too many goes.
     n_removed counts the sentences of which no word stays.
 
     A null text gives null, 0 and 0. Empty texts and texts without words stay as they are. Rows that

@@ -1,8 +1,9 @@
 """Quality by importance resampling: hashed n-gram models of target and raw text, sampled by Gumbel top-k.
 
 A text's weight is the log ratio of its probability under two bag-of-n-grams models over hashed word
-unigrams and bigrams: one of the target documents, one of all documents. Adding Gumbel noise to the
-weights and keeping the k largest draws k documents without replacement in proportion to their ratios.
+unigrams and bigrams, as of a text of LENGTH n-grams: one of the target documents, one of all documents.
+Adding Gumbel noise to the weights and keeping the k largest draws k documents without replacement in
+proportion to their ratios. Texts are read twice, to count and to score; all that follows reads scores.
 """
 
 from __future__ import annotations
@@ -11,15 +12,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import Words, blocks, mix, with_fields
+from .base import Words, blocks, cut, mix, with_fields
 
-#: Buckets of hashed n-grams.
-BUCKETS = 10_000
+#: Buckets of hashed n-grams, and the n-grams that a weight stands for.
+BUCKETS, LENGTH = 1 << 17, 100
 #: Labelled documents that the target model is fitted on, about: the documented bound of that sample.
 TARGET_SAMPLE = 20_000
+#: Up to so many document ids (8 MB) are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -54,10 +57,15 @@ def log_ratios(target: np.ndarray, raw: np.ndarray, smoothing: float = 1.0) -> n
     return np.log(p / p.sum()) - np.log(q / q.sum())
 
 
-def score(docs: DataFrame, ratios: np.ndarray, seed: int) -> DataFrame:
+def _draw(*columns: Column | str) -> Column:
+    """A whole number below 2**53 that follows from the columns."""
+    return F.shiftrightunsigned(F.xxhash64(*columns), 11)
+
+
+def score(docs: DataFrame, ratios: np.ndarray, seed: int, carry_text: bool = True) -> DataFrame:
     """docs with n_words, log_weight and gumbel_key; texts without words get null weights and keys."""
     names = ["n_words", "log_weight", "gumbel_key"]
-    kept = [c for c in docs.columns if c not in names]
+    kept = [c for c in docs.columns if c not in (*names, "kept") and (carry_text or c != "text")]
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,13 +74,13 @@ def score(docs: DataFrame, ratios: np.ndarray, seed: int) -> DataFrame:
             for lo, hi, data, offsets in blocks(batch.column(len(kept))):
                 w = Words(data, offsets)
                 row, bucket = _buckets(w)
-                weight = np.bincount(row, shared.value[bucket], minlength=hi - lo)
+                weight = LENGTH * np.bincount(row, shared.value[bucket], minlength=hi - lo) / np.maximum(1, np.bincount(row, minlength=hi - lo))
                 key = weight + noise[lo:hi]
                 none = w.count == 0
                 yield pa.RecordBatch.from_arrays([*(batch.column(k)[lo:hi] for k in range(len(kept))), pa.array(w.count.astype(np.int64)), pa.array(weight, mask=none), pa.array(key, mask=none)], names=[*kept, *names])
 
-    # the noise follows from doc_id, so that a task that runs again draws the same
-    u = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
+    # the noise follows from the row, so that a task that runs again draws the same
+    u = (_draw("doc_id", F.col("text").cast("string"), F.lit(seed)) + F.lit(0.5)) / F.lit(float(1 << 53))
     wide = docs.select(*kept, F.col("text").cast("string").alias("__text"), (-F.log(-F.log(u))).alias("__noise"))
     return wide.mapInArrow(run, with_fields(docs.select(*kept), "n_words long, log_weight double, gumbel_key double"))
 
@@ -104,29 +112,30 @@ def kth_largest(keys: DataFrame, k: int, bins: int = 4096) -> tuple[float, float
     return low, high
 
 
-def resample(docs: DataFrame, target: DataFrame, share: float = 0.8, seed: int = 17) -> DataFrame:
+def resample(docs: DataFrame, target: DataFrame, share: float = 0.8, seed: int = 17, carry_text: bool = True) -> DataFrame:
     """docs with n_words, log_weight, gumbel_key and kept: a sample of ``share`` of the documents with words.
 
-    kept marks the k = round(share * n) documents of largest gumbel_key of the n whose text has words;
-    ties of keys go to the smaller doc_id, and rows that repeat both are kept or not together. The raw
-    model counts all of docs, the target model the texts of ``target``. Null texts and those without
-    words have null weights and aren't kept. Other columns are carried along, and columns of the new
-    names are replaced. Empty tables give an empty result.
+    kept marks exactly k = round(share * n) of the n documents whose text has words: those of largest
+    gumbel_key, which follows from doc_id and text. Ties of keys, which equal rows have, go to those with the largest draw from their row's
+    number. The raw model counts all of docs, the target model the texts of ``target``. Null texts and those
+    without words have null weights and aren't kept. A null doc_id is drawn like any other. Other columns are
+    carried along, text only with carry_text, and columns of the new names are replaced. The scored rows are
+    written once to the shared folder. Empty tables give an empty result.
     """
     ratios = log_ratios(ngram_counts(target), ngram_counts(docs))
-    scored = score(docs, ratios, seed)
-    keys = scored.where("gumbel_key is not null").select("gumbel_key", "doc_id")
-    n = keys.count()
-    k = round(share * n)
+    scored = cut(score(docs, ratios, seed, carry_text)).withColumn("__row", F.monotonically_increasing_id())
+    keys = scored.where("gumbel_key is not null").select("gumbel_key", "__row", _draw("__row", F.lit(seed)).cast("double").alias("tie"))
+    k = round(share * keys.count())
     if not k:
-        return scored.withColumn("kept", F.lit(False))
+        return scored.drop("__row").withColumn("kept", F.lit(False))
     low, high = kth_largest(keys.select("gumbel_key"), k)
-    sure = keys.where(F.col("gumbel_key") >= high).count()
-    near = keys.where((F.col("gumbel_key") >= low) & (F.col("gumbel_key") < high)).orderBy(F.desc("gumbel_key"), "doc_id").limit(max(1, k - sure)).collect()  # those that share the last bin: ties, or a few
-    last = near[-1] if near else (high, None)
-    at = F.col("gumbel_key")
-    within = F.lit(False) if last[1] is None else (at == last[0]) & (F.col("doc_id") <= last[1])
-    return scored.withColumn("kept", F.coalesce((at > last[0]) | within, F.lit(False)))
+    near = keys.where((F.col("gumbel_key") >= low) & (F.col("gumbel_key") < high))  # one, or rows that tie
+    r = k - keys.where(F.col("gumbel_key") >= high).count()
+    t_low, t_high = kth_largest(near.select("tie"), r)
+    last = near.where((F.col("tie") >= t_low) & (F.col("tie") < t_high)).orderBy(F.desc("tie"), "__row").limit(r - near.where(F.col("tie") >= t_high).count()).collect()  # one, or rows of one 53-bit draw
+    at, tie = F.col("gumbel_key"), _draw("__row", F.lit(seed)).cast("double")
+    within = (at >= low) & ((tie >= t_high) | F.col("__row").isin([x["__row"] for x in last]))
+    return scored.withColumn("kept", F.coalesce((at >= high) | within, F.lit(False))).drop("__row")
 
 
 def target_documents(docs: DataFrame, labels: DataFrame, sample: int = TARGET_SAMPLE) -> DataFrame:
@@ -135,4 +144,10 @@ def target_documents(docs: DataFrame, labels: DataFrame, sample: int = TARGET_SA
     n = good.count()
     draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(23)), 11) / F.lit(float(1 << 53))
     chosen = good.where(draw < min(1.0, sample / max(1, n)))
-    return docs.join(F.broadcast(chosen), "doc_id", "left_semi")  # about ``sample`` ids, 160 kB
+    return docs.join(F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen, "doc_id", "left_semi")
+
+
+def target_share(labels: DataFrame) -> float:
+    """The share of the labelled documents that are of good quality and not toxic; 1 without labels."""
+    good, every = labels.agg(F.count(F.expr("CASE WHEN quality = 1 AND toxic = 0 THEN 1 END")), F.count("*")).first()
+    return good / every if every else 1.0

@@ -83,15 +83,29 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch, block):
     assert join_near_duplicates(frame(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("block", [1 << 18, 1 << 11])
-def test_links_of_each_document_match_brute_force(spark, monkeypatch, block):
+def test_recall_of_links(spark):
+    """Pairs at 0.8 to 0.9 by themselves, where only their own bands can find them: at least 0.9 of them are found, and printed."""
+    rng = random.Random(15)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    texts = [t for _ in range(300) for t in near_copies(rng, " ".join(word() for _ in range(200)), 2, 2)] + ["x " * 30_000 + word() for _ in range(3)]
+    sets = [shingles(t) for t in texts]
+    want = {i for i in range(0, 600, 2) if 0.8 <= len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) < 0.9}
+    got = {r["doc_id"]: r["class_id"] for r in join_near_duplicates(frame(spark, enumerate(texts)).withColumn("class_id", F.lit("clash")).withColumn("keys", F.lit("clash"))).collect()}
+    found = sum(got[i + 1] == i for i in want)
+    print(f"recall {found / len(want):.3f} of {len(want)} pairs")
+    assert len(want) > 200 and found >= 0.9 * len(want) and all(got[i + 1] in (i, i + 1) for i in range(0, 600, 2))
+
+
+@pytest.mark.parametrize("block, hot", [(1 << 18, 4096), (1 << 11, 5)])
+def test_links_of_each_document_match_brute_force(spark, monkeypatch, block, hot):
     monkeypatch.setattr(near_duplicates, "BLOCK_SHINGLES", block)
+    monkeypatch.setattr(near_duplicates, "HOT_SETS", hot)
     rng = random.Random(14)
     word = lambda: "".join(rng.choices("abcdefgh", k=5))
     texts = []
     for size, edits in ((2, 1), (5, 1), (80, 1), (40, 3), (20, 4)):
         texts += near_copies(rng, " ".join(word() for _ in range(150)), size, edits)
-    texts += [texts[3], texts[3], None, "one"] + [" ".join(word() for _ in range(30)) for _ in range(10)]
+    texts += [texts[3]] * 60 + [None, "one"] + [" ".join(word() for _ in range(30)) for _ in range(10)]
     sets = {i: shingles(t) for i, t in enumerate(texts)}
     leader = {i: min((j for j in sets if sets[j] and sets[j] == s), default=i) for i, s in sets.items()}
     other = set(leader.values())

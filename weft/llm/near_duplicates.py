@@ -28,6 +28,8 @@ from .base import blocks, components, cut, shingle_sets
 BLOCK_SHINGLES = 1 << 18
 #: Rounds in which each leader is verified against one member of another component of its bands.
 PROBES = 2
+#: Sets that may be broadcast as hot ones (at most 160 kB of keys): those that more than 1 in HOT_SETS documents have.
+HOT_SETS = 4096
 #: Up to so many document ids (8 MB) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -243,8 +245,12 @@ def join_near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, re
     bands, rows = choose_bands(threshold, recall)
     every = cut(sketches(docs, k, bands, rows))
     good = every.where("doc_id is not null and key is not null")
-    classes = good.groupBy("key").agg(F.min("doc_id").alias("leader_id"), F.count("*").alias("n_copies"))
-    whole = cut(good.join(classes, "key").select("doc_id", "leader_id", "n_copies", "n", F.when(F.col("doc_id") == F.col("leader_id"), F.col("keys")).alias("keys")))
+    classes = cut(good.groupBy("key").agg(F.min("doc_id").alias("leader_id"), F.count("*").alias("n_copies")))
+    # sets of so many documents that HOT_SETS at most are: their classes are broadcast, and no key of theirs is shuffled
+    most = good.count() // HOT_SETS
+    hot = F.broadcast(classes.where(F.col("n_copies") > most))
+    rest = good.join(hot.select("key"), "key", "left_anti").join(classes, "key")
+    whole = cut(good.join(hot, "key").union(rest).select("doc_id", "leader_id", "n_copies", "n", F.when(F.col("doc_id") == F.col("leader_id"), F.col("keys")).alias("keys")))
     leaders = whole.where("keys is not null")
 
     banded = leaders.select(F.col("doc_id").alias("node"), "n", F.explode("keys").alias("band"))
@@ -284,10 +290,11 @@ def join_near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, re
     degree = _link_counts(label, sets, threshold) if count_links else label.select("node", F.lit(None).cast("long").alias("n_links"))
     of_leader = label.join(degree, "node", "left").withColumnRenamed("node", "leader_id")
     alone = every.where("doc_id is null or key is null").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("leader_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"))
+    copies = whole.select("doc_id", "leader_id", "n_copies")
+    hot = F.broadcast(classes.where(F.col("n_copies") > most).select("leader_id"))
+    linked = copies.join(hot, "leader_id", "left_semi").join(F.broadcast(of_leader.join(hot, "leader_id", "left_semi")), "leader_id", "left").union(copies.join(hot, "leader_id", "left_anti").join(of_leader, "leader_id", "left"))
     return (
-        whole.select("doc_id", "leader_id", "n_copies")
-        .join(of_leader, "leader_id", "left")
-        .select("doc_id", F.coalesce("root", "leader_id").alias("class_id"), "leader_id", "n_copies", (F.coalesce("n_links", F.lit(0).cast("long")) if count_links else F.col("n_links")).alias("n_links"))
+        linked.select("doc_id", F.coalesce("root", "leader_id").alias("class_id"), "leader_id", "n_copies", (F.coalesce("n_links", F.lit(0).cast("long")) if count_links else F.col("n_links")).alias("n_links"))
         .union(alone)
     )
 

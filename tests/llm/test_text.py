@@ -278,6 +278,18 @@ def test_licenses_match_oracle(spark):
     assert by[3]["n_base"] == 2 and (by[3]["first_word"], by[3]["last_word"]) == (1, 6) and by[5]["labels"] == "gpl-3" and by[5]["base_labels"] == "" and by[6]["n_base"] == 0 and by[7]["base_labels"] == "mit"
 
 
+def test_wrapped_notices_are_found(spark):
+    notice = licenses.TEMPLATES[2][1].split(" ")
+    wrapped = "\n".join(" ".join(notice[k : k + 5]) for k in range(0, len(notice), 5))
+    rows = [(1, f"intro\n{wrapped}\nend"), (2, "x " * 777 + " * ".join(notice).replace("charge", "cost")), (3, " ".join(notice[:12])), (4, "filler " * 20_000 + wrapped)]
+    con = duckdb.connect()
+    con.execute("create table documents(doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    got = sorted(map(tuple, licenses.scan_licenses(frame(spark, rows)).collect()))
+    assert [r[6] for r in got] == ["mit", "mit", "", "mit"] and [r[7] == 1 for r in got] == [True, False, False, True]
+    assert got == sorted(con.sql(ORACLES["op7_license_scan"]).fetchall())
+
+
 def test_licenses_of_repeated_and_missing_ids(spark):
     got = [(r["doc_id"], r["base_labels"]) for r in licenses.scan_licenses(frame(spark, LICENSE_DOCS)).collect()]
     assert len(got) == len(LICENSE_DOCS) and got.count((8, "cc-by-nc")) == 2 and (None, "apache-2") in got

@@ -1,9 +1,11 @@
 """License scan: an exact set-similarity join of text blocks with license templates, in DataFrame functions only.
 
-A block is a line. Template and block are sets of words in one global order, the rarest word first; a
-block meets a template if it contains at least ``threshold`` of the template's words. A prefix filter
-(a pair that qualifies shares a word of both prefixes), a length filter and a positional filter leave
-few pairs, which are then verified exactly.
+A block is BLOCK_WORDS consecutive words, and a new one begins after each half of them, so whatever lines
+a notice is broken into, it stands whole in one block if it has no more words than that half. Template
+and block are sets of words in one global order, the rarest word first; a block meets a template if it
+contains at least ``threshold`` of the template's words. A prefix filter (a pair that qualifies shares a
+word of both prefixes), a length filter and a positional filter leave few pairs, which are then verified
+exactly. Texts are read once: documents that as a whole hold too few words of every template make no blocks.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .base import cut
+
 #: Phrases and their labels.
 PHRASES = (
     ("under the mit license", "mit"),
@@ -37,6 +41,8 @@ TEMPLATES = (
 )
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Words of a block.
+BLOCK_WORDS = 64
 #: Rows of the templates' prefixes up to which they are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 20_000
 
@@ -68,74 +74,91 @@ def _places(words: Column, lowered: Column, phrase: str) -> Column:
     return F.when(has, F.filter(F.sequence(F.lit(0), F.size(words) - k), stands)).otherwise(F.array().cast("array<int>"))
 
 
-def scan_licenses(docs: DataFrame, phrases: Sequence[tuple[str, str]] = PHRASES, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = 0.95) -> DataFrame:
+def scan_licenses(docs: DataFrame, phrases: Sequence[tuple[str, str]] = PHRASES, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = 0.9) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) of each document.
 
     n_base counts the places where a phrase's words stand consecutively in the lower-cased text;
     first_word and last_word are their smallest and largest start, null if there are none. labels are the
-    phrases' labels and those of every template of which a line contains at least ``threshold`` of the
+    phrases' labels and those of every template of which a block contains at least ``threshold`` of the
     distinct words. score is 1 if a phrase was found, else the best containment that met the threshold,
-    else 0. A null text counts as empty; rows that repeat a doc_id or have none are scanned one by one;
-    other columns are not read.
+    else 0. A null text counts as empty; rows that repeat a doc_id or have none are scanned one by one; a text of any
+    length makes blocks of bounded size; other columns are not read.
     """
-    lowered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), _UPPER, _LOWER).alias("low"))
-    base = lowered.select("doc_id", "low", words_of(F.col("low")).alias("words")).select(
-        "doc_id", F.xxhash64("low").alias("__text"), F.size("words").cast("long").alias("n_words"), *(_places(F.col("words"), F.col("low"), p).alias(f"__p{i}") for i, (p, _) in enumerate(phrases))
+    sets = [(label, _template_words(text)) for label, text in templates]
+    sets = [(label, w, max(1, math.ceil(threshold * len(w) - 1e-9))) for label, w in sets if w]
+    vocabulary = sorted({x for _, w, _ in sets for x in w})
+    listed = F.array(*map(F.lit, vocabulary)) if vocabulary else F.array().cast("array<string>")
+    low = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), _UPPER, _LOWER)
+    split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), low.alias("low")).select("doc_id", "low", words_of(F.col("low")).alias("words")).select("*", F.array_intersect("words", listed).alias("tokens"))
+
+    places = [_places(F.col("words"), F.col("low"), p) for p, _ in phrases]
+    enough = F.lit(False)
+    for _, w, least in sets:
+        enough = enough | (F.size(F.array_intersect("tokens", F.array(*map(F.lit, w)))) >= least)
+    stands = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("at"), F.array_position(listed, w).cast("int").alias("token"))), lambda x: x["token"] > 0)
+    found = split.select(
+        "doc_id", F.size("words").cast("long").alias("n_words"), *(c.alias(f"__p{i}") for i, c in enumerate(places)), F.transform("tokens", lambda w: F.array_position(listed, w).cast("int")).alias("tokens"), F.when(enough, stands).alias("held")
     )
-    found = [F.col(f"__p{i}") for i in range(len(phrases))]
-    places = F.concat(*found) if found else F.array().cast("array<int>")
-    named = F.array(*(F.when(F.size(c) > 0, F.lit(label)) for c, (_, label) in zip(found, phrases, strict=True))) if found else F.array().cast("array<string>")
-    base = base.select("doc_id", "__text", "n_words", F.size(places).cast("long").alias("n_base"), F.array_min(places).cast("long").alias("first_word"), F.array_max(places).cast("long").alias("last_word"), F.array_sort(F.array_distinct(F.array_compact(named))).alias("__base"))
+    found = cut(found).withColumn("__row", F.monotonically_increasing_id())
 
-    met = _contained(lowered, templates, threshold).groupBy("__doc", "__text").agg(F.collect_set("label").alias("__met"), F.max("containment").alias("__best"))
-    joined = base.withColumn("__doc", _known(F.col("doc_id"))).join(met, ["__doc", "__text"], "left")
+    columns = [F.col(f"__p{i}") for i in range(len(phrases))]
+    every_place = F.concat(*columns) if columns else F.array().cast("array<int>")
+    named = F.array(*(F.when(F.size(c) > 0, F.lit(label)) for c, (_, label) in zip(columns, phrases, strict=True))) if columns else F.array().cast("array<string>")
+    base = found.select("__row", "doc_id", "n_words", F.size(every_place).cast("long").alias("n_base"), F.array_min(every_place).cast("long").alias("first_word"), F.array_max(every_place).cast("long").alias("last_word"), F.array_sort(F.array_distinct(F.array_compact(named))).alias("__base"))
+
+    met = _contained(found, sets, len(vocabulary)).groupBy("__row").agg(F.collect_set("label").alias("__met"), F.max("containment").alias("__best"))
+    joined = base.join(met, "__row", "left")
     every = F.array_sort(F.array_union("__base", F.coalesce("__met", F.array().cast("array<string>"))))
     return joined.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("__base", ",").alias("base_labels"), F.array_join(every, ",").alias("labels"), F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("__best", F.lit(0.0))).alias("score"))
 
 
-def _known(doc_id: Column) -> Column:
-    return F.coalesce(doc_id, F.lit(-(1 << 63)))
-
+def _contained(found: DataFrame, sets: Sequence[tuple[str, list[str], int]], n_tokens: int) -> DataFrame:
+    """(__row, label, containment) of every block that meets a template; a block may meet several.
 
-def _contained(lowered: DataFrame, templates: Sequence[tuple[str, str]], threshold: float) -> DataFrame:
-    """(__doc, __text, label, containment) of every line that meets a template; a line may meet several."""
-    spark = lowered.sparkSession
-    sets = [(label, _template_words(text)) for label, text in templates]
-    need = [max(1, math.ceil(threshold * len(w) - 1e-9)) for _, w in sets]
-    vocabulary = sorted({x for _, w in sets for x in w})
-    if not vocabulary:
-        return lowered.where("false").select(_known(F.col("doc_id")).alias("__doc"), F.lit(0).cast("long").alias("__text"), F.lit("").alias("label"), F.lit(0.0).alias("containment"))
-    listed = F.array(*map(F.lit, vocabulary))
-    lines = lowered.select(_known(F.col("doc_id")).alias("__doc"), F.xxhash64("low").alias("__text"), F.explode(F.split("low", "\n")).alias("line"))
-    blocks = lines.select("__doc", "__text", F.array_intersect(words_of(F.col("line")), listed).alias("tokens"))
-
-    # the global order: how many of all blocks hold a word; a row for each word of the templates
-    counted = {r[0]: r[1] for r in blocks.select(F.explode("tokens").alias("t")).groupBy("t").count().collect()}
-    rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counted.get(w, 0), w)))}
+    found: (__row, tokens, held): numbers, from 1, of the templates' words that a document has, and the places of
+    all of them where they may make up a template.
+    """
+    spark = found.sparkSession
+    if not n_tokens:
+        return found.where("false").select("__row", F.lit("").alias("label"), F.lit(0.0).alias("containment"))
+    # the global order: how many documents hold a word; a row for each word of the templates
+    counted = {r[0]: r[1] for r in found.select(F.explode("tokens").alias("t")).groupBy("t").count().collect()}
+    order = sorted(range(1, n_tokens + 1), key=lambda t: (counted.get(t, 0), t))
+    rank = {t: i for i, t in enumerate(order)}
+    number = {w: t for t, w in enumerate(sorted({x for _, w, _ in sets for x in w}), 1)}
     rows = []
-    for k, ((label, words), least) in enumerate(zip(sets, need, strict=True)):
-        order = sorted(rank[w] for w in words)
-        rows += [(order[i], k, label, i, least, order) for i in range(len(order) - least + 1)]
+    for k, (label, words, least) in enumerate(sets):
+        ranks = sorted(rank[number[w]] for w in words)
+        rows += [(ranks[i], k, label, i, least, ranks) for i in range(len(ranks) - least + 1)]
     prefixes = spark.createDataFrame(rows, "rank int, template int, label string, at_t int, least int, order array<int>")
     prefixes = F.broadcast(prefixes) if len(rows) <= BROADCAST_ROWS else prefixes
 
-    ranks = F.create_map(*(x for w in vocabulary for x in (F.lit(w), F.lit(rank[w]))))
-    least = min(need)
-    ordered = blocks.where(F.size("tokens") >= least).select("__doc", "__text", F.array_sort(F.transform("tokens", lambda t: F.element_at(ranks, t))).alias("held"))
+    by_token = F.array(*(F.lit(rank[t]) for t in range(1, n_tokens + 1)))
+    half = F.floor(F.col("x.at") / (BLOCK_WORDS // 2)).cast("long")
+    least = min(n for _, _, n in sets)
+    blocks = (
+        found.where("held is not null")
+        .select("__row", F.explode("held").alias("x"))
+        .select("__row", F.explode(F.array(half, half - 1)).alias("block"), F.element_at(by_token, F.col("x.token")).alias("rank"))
+        .where("block >= 0")
+        .groupBy("__row", "block")
+        .agg(F.array_sort(F.collect_set("rank")).alias("held"))
+        .where(F.size("held") >= least)
+    )
     prefix = F.slice("held", F.lit(1), F.size("held") - (least - 1))
     pairs = (
-        ordered.select("__doc", "__text", "held", F.posexplode(prefix).alias("at_b", "rank"))
+        blocks.select("__row", "held", F.posexplode(prefix).alias("at_b", "rank"))
         .join(prefixes, "rank")
         .where(F.size("held") >= F.col("least"))  # length
         .where(F.col("at_b") <= F.size("held") - F.col("least"))  # prefix, for this template
         .where(F.least(F.size("order") - F.col("at_t"), F.size("held") - F.col("at_b")) >= F.col("least"))  # position
     )
     both = F.size(F.array_intersect("held", "order"))
-    return pairs.where(both >= F.col("least")).select("__doc", "__text", "label", (both / F.size("order")).alias("containment"))
+    return pairs.where(both >= F.col("least")).select("__row", "label", (both / F.size("order")).alias("containment"))
 
 
-def oracle_sql(phrases: Sequence[tuple[str, str]] = PHRASES, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = 0.95) -> str:
-    """The same in DuckDB's SQL, without any filter: every line against every template."""
+def oracle_sql(phrases: Sequence[tuple[str, str]] = PHRASES, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = 0.9) -> str:
+    """The same in DuckDB's SQL, without any filter: every block against every template."""
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     values = ", ".join(f"({k}, '{label}', [{', '.join(repr(w) for w in _template_words(text))}])" for k, (label, text) in enumerate(templates))
     spots = []
@@ -151,8 +174,8 @@ ws AS (SELECT doc_id, low, regexp_extract_all(low, '{word}') AS w FROM low),
 ps AS (SELECT doc_id, low, w, {", ".join(f"{s} AS p{k}" for k, s in enumerate(spots))} FROM ws),
 b AS (SELECT doc_id, low, len(w) AS n_words, {every} AS p, list_sort(list_distinct(list_filter([{labels}], lambda x: x IS NOT NULL))) AS bl FROM ps),
 t(k, label, tw) AS (VALUES {values}),
-ln AS (SELECT doc_id, list_distinct(regexp_extract_all(line, '{word}')) AS lw FROM (SELECT doc_id, unnest(string_split(low, chr(10))) AS line FROM low)),
-hit AS (SELECT doc_id, label, len(list_intersect(lw, tw)) AS met, len(tw) AS size FROM ln, t),
+bk AS (SELECT doc_id, list_distinct(w[s + 1 : s + {BLOCK_WORDS}]) AS lw FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w), 1), {BLOCK_WORDS // 2})) AS s FROM ws)),
+hit AS (SELECT doc_id, label, len(list_intersect(lw, tw)) AS met, len(tw) AS size FROM bk, t),
 m AS (SELECT doc_id, list(DISTINCT label) AS ml, max(met / size) AS best FROM hit WHERE met >= greatest(1, ceil({threshold} * size - 1e-9)) GROUP BY doc_id)
 SELECT b.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len(p) AS BIGINT) AS n_base, CAST(list_min(p) - 1 AS BIGINT) AS first_word, CAST(list_max(p) - 1 AS BIGINT) AS last_word,
   array_to_string(bl, ',') AS base_labels, array_to_string(list_sort(list_distinct(list_concat(bl, coalesce(ml, [])))), ',') AS labels,

@@ -234,6 +234,9 @@ def test_bits_round_trip(bits):
     ids = np.random.default_rng(bits).integers(0, 1 << bits, 1001).astype("<u4")
     data = pack_bits(ids, bits)
     assert len(data) == -(-1001 * bits // 8) and (unpack_bits(data, bits, 1001) == ids).all()
+    if bits < 32:
+        with pytest.raises(ValueError):
+            pack_bits(np.append(ids, np.uint32(1 << bits)), bits)
 
 
 def test_token_file_random_access(spark):

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import posixpath
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyarrow import fs
+from pyspark.sql import SparkSession
 
 
 def at(uri: str) -> tuple[fs.FileSystem, str]:
@@ -51,6 +54,19 @@ def move(source: str, target: str) -> None:
     store.move(path, to)
 
 
+def move_all(spark: SparkSession, pairs: list[tuple[str, str]], at_once: int = 64) -> None:
+    """Rename the sources to the targets in tasks of ``at_once`` files; a task that runs again finds them done."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for source, target in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                move(source, target)
+            yield batch
+
+    if pairs:
+        spark.createDataFrame(pairs, "source string, target string").repartition(-(-len(pairs) // at_once)).mapInArrow(run, "source string, target string").count()
+
+
 def remove_dir(uri: str) -> None:
     store, path = at(uri)
     if store.get_file_info(path).type != fs.FileType.NotFound:

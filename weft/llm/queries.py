@@ -73,7 +73,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the files, reads them back, and removes them once the result is kept."""
     to = fresh_dir(spark, "tokens")
-    write_token_files(table(spark, sf_dir, "documents"), to, tokenizer("byte_bpe_50k.json"), end_id=2, vocabulary=50_257)
+    write_token_files(table(spark, sf_dir, "documents"), to, tokenizer("byte_bpe_50k.json"), end_id=2)
     result = cut(read_token_files(spark, to))
     files.remove_dir(to)
     return result

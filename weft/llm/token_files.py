@@ -1,8 +1,8 @@
 """Token ids in fixed-width bit-packed files with block offsets.
 
-A file is: an 32-byte header (magic, version, bits an id, ids a block, number of ids, number of
-documents), the blocks, then the blocks' byte offsets, the documents' ids and first positions, and last
-the byte where these tables begin. Each block holds the same number of ids (the last may hold fewer),
+A file is: a 16-byte header (magic, version, bits an id, ids a block), the blocks, then the blocks' byte
+offsets, the documents' ids and first positions, and last the byte where these tables begin, the number
+of ids and the number of documents, which a stream knows only at its end. Each block holds the same number of ids (the last may hold fewer),
 each id in the fewest bits that the vocabulary needs, lowest bit first; a block begins on a byte, so any
 id is found by one seek and one vectorised unpacking.
 """
@@ -25,7 +25,7 @@ from . import files
 from .base import cut
 from .tokens import encoder, text_groups
 
-_HEAD = struct.Struct("<4sHHIQQ4x")
+_HEAD = struct.Struct("<4sHHI4x")
 BLOCK_IDS = 8192
 #: Ids after which a task begins its next file (512 MB at 16 bits).
 FILE_IDS = 1 << 28
@@ -38,6 +38,8 @@ def bits_for(vocabulary: int) -> int:
 
 
 def pack_bits(ids: np.ndarray, bits: int) -> bytes:
+    if len(ids) and int(ids.max()) >> bits:
+        raise ValueError(f"id {ids.max()} doesn't fit in {bits} bits")
     if bits in (8, 16, 32):
         return ids.astype(f"<u{bits // 8}").tobytes()
     flags = (ids.astype(np.uint32)[:, None] >> np.arange(bits, dtype=np.uint32)) & 1
@@ -60,7 +62,7 @@ class TokenFileWriter:
         self.pending = np.zeros(0, "<u4")
         self.offsets, self.docs, self.starts, self.n = [], [], [], 0
         self.place = _HEAD.size
-        self.out.write(b"\0" * 0 + _HEAD.pack(b"WTK1", 1, bits, block_ids, 0, 0))
+        self.out.write(_HEAD.pack(b"WTK2", 2, bits, block_ids))
 
     def _block(self, ids: np.ndarray) -> None:
         data = pack_bits(ids, self.bits)
@@ -93,8 +95,8 @@ class TokenFileReader:
 
     def __init__(self, uri: str):
         self.file = files.reader(uri)
-        magic, _, self.bits, self.block_ids, _, _ = _HEAD.unpack(self.file.read(_HEAD.size))
-        if magic != b"WTK1":
+        magic, _, self.bits, self.block_ids = _HEAD.unpack(self.file.read(_HEAD.size))
+        if magic != b"WTK2":
             raise ValueError(f"no token file: {uri}")
         size = self.file.size()
         self.file.seek(size - 24)
@@ -123,15 +125,17 @@ class TokenFileReader:
         self.file.close()
 
 
-def write_token_files(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id: int, vocabulary: int) -> list[dict]:
+def write_token_files(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id: int, vocabulary: int | None = None) -> list[dict]:
     """Encode every text, write the ids in ascending doc_id order, and return the manifest's rows in that order.
 
     Rows go through one range exchange by doc_id; each task streams its sorted rows into files under
     temporary names. The manifest is written to the shared folder before the files take their last names, and
     names are taken from it alone: what a lost or repeated attempt left is never read. A null doc_id
     comes first, repeated doc_ids are ordered by text; a null text is empty and has only the end id.
+    vocabulary is the number of ids, the tokenizer's own by default; a larger id is an error, never cut.
     """
     spark = docs.sparkSession
+    vocabulary = vocabulary or max(encoder(tokenizer_path).tokenizer.get_vocab_size(), end_id + 1)
     bits = bits_for(vocabulary)
     files.make_dir(out_dir)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -167,8 +171,8 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id
         manifest.append({"file": f"tokens-{k:06d}.wtk", "temporary": r["temporary"], "start": start, "n_ids": r["n_ids"], "n_docs": r["n_docs"]})
         start += r["n_ids"]
     files.write_text(files.join(out_dir, "manifest.json"), json.dumps({"bits": bits, "vocabulary": vocabulary, "block_ids": BLOCK_IDS, "files": manifest}))
-    for m in manifest:
-        files.move(m["temporary"], files.join(out_dir, m["file"]))
+    files.move_all(spark, [(m["temporary"], files.join(out_dir, m["file"])) for m in manifest])
+    files.remove_dir(files.join(out_dir, "_temporary"))  # what lost attempts left
     files.write_text(files.join(out_dir, "_SUCCESS"), "")
     return manifest
 

@@ -28,8 +28,8 @@ from .base import cut
 #: Text of a shard and compressed bytes after which a shard goes on in its next file.
 SHARD_BYTES = 256 << 20
 FILE_BYTES = 128 << 20
-#: page_ids drawn for each shard to set its boundaries.
-DRAWN = 64
+#: page_ids drawn for each shard to set its boundaries, and for all shards (8 MB) as far as each still gets FEWEST.
+DRAWN, DRAWN_IN_ALL, FEWEST = 64, 1 << 20, 4
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -89,7 +89,7 @@ def read_records(raw) -> Iterator[tuple[dict[str, str], bytes]]:
 def _boundaries(pages: DataFrame, shards: int) -> list[int]:
     """Ascending page_ids that cut the pages into about equal shards: quantiles of a sample drawn by a hash of page_id."""
     n = pages.where("page_id is not null").count()
-    share = min(1.0, DRAWN * shards / max(1, n))
+    share = min(1.0, min(DRAWN * shards, max(FEWEST * shards, DRAWN_IN_ALL)) / max(1, n))
     draw = F.shiftrightunsigned(F.xxhash64("page_id", F.lit(3)), 11) / F.lit(float(1 << 53))
     drawn = sorted(r[0] for r in pages.where("page_id is not null").where(draw < share).select("page_id").collect())
     return sorted({drawn[len(drawn) * k // shards] for k in range(1, shards)}) if drawn else []
@@ -173,8 +173,8 @@ def write_warc(pages: DataFrame, out_dir: str, least_payload: int = 0, date: str
     written = cut(dealt.mapInArrow(run, "shard long, roll long, temporary string, bytes long, records long"))
     manifest = [{"file": f"pages-{r['shard']:06d}-{r['roll']:04d}.warc.gz", "temporary": r["temporary"], "bytes": r["bytes"], "records": r["records"]} for r in written.orderBy("shard", "roll").collect()]
     files.write_text(files.join(out_dir, "manifest.json"), json.dumps({"files": manifest}))
-    for m in manifest:
-        files.move(m["temporary"], files.join(out_dir, m["file"]))
+    files.move_all(spark, [(m["temporary"], files.join(out_dir, m["file"])) for m in manifest])
+    files.remove_dir(files.join(out_dir, "_temporary"))  # what lost attempts left
     files.write_text(files.join(out_dir, "_SUCCESS"), "")
     return manifest
 

@@ -402,3 +402,34 @@ def test_pipeline_stages(spark, tmp_path, sf_dir):
     last = {r["doc_id"]: r for r in outs[3].collect()}
     assert lower(leak) not in lower(last[16]["text"]) and last[16]["n_chars"] == len(last[16]["text"]) and all(last[i]["text"] == clean[i] for i in range(6))
     assert set(ids[4]) == set(ids[3])
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Empty tables, repeated rows, null ids, very long texts and columns that operators would replace pass every stage."""
+    rng = random.Random(5)
+    text = lambda n: " ".join("".join(rng.choices("abcdefgh", k=4)) for _ in range(n)) + "."
+    own, long, twin = text(80), text(30_000), text(90)
+    rows = [(1, own), (1, own), (2, long), (None, text(40)), (None, None), (3, twin), (4, twin), (5, "... 12"), (6, "")]
+    docs = spark.createDataFrame([(i, t, None if i == 2 else "en", len(t or ""), f"c{i}", 0.25, 7) for i, t in rows], "doc_id long, text string, lang string, n_chars long, cleaned string, score double, items int")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for start in (docs, docs.where("false")):
+        now = start
+        for _, stage in corpus_pipeline.STAGES[:4]:
+            now = stage(spark, now, str(tmp_path))
+            assert now.columns == docs.columns
+        got = sorted(((r["doc_id"] or 0, r["text"], r["lang"], r["cleaned"], r["score"], r["items"]) for r in now.collect()), key=str)
+        packs = corpus_pipeline.STAGES[4][1](spark, now, str(tmp_path)).collect()
+        if start is docs:
+            assert got == sorted(((i or 0, t, "en", f"c{i}", 0.25, 7) for i, t in [rows[k] for k in (0, 1, 2, 3, 5)]), key=str)
+            assert {r["doc_id"] for r in packs} == {1, 2, 3, None}
+        else:
+            assert got == [] and packs == []
+
+
+def test_pipeline_rejects_what_no_language_fits(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    odd = spark.createDataFrame([(10**6, "+%$ A 17 ### 99 00 11 22 33 44 55 66 77 88 99 $$$ b", "en", "s", 9)], docs.schema)
+    kept = corpus_pipeline.known_language(spark, docs.union(odd), sf_dir)
+    model = corpus_pipeline.train(docs.union(odd))
+    want = {r["doc_id"]: r["lang_pred"] for r in identify(docs.union(odd), model).where(f"lang_pred <> 'und' and score >= {corpus_pipeline.LEAST_SCORE}").collect()}
+    assert {r["doc_id"]: r["lang"] for r in kept.collect()} == want and len(want) >= docs.count() - 5

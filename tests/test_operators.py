@@ -5,8 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from weft.operators import candidates, chunks, closure, folds, integrity, lookups, namespace, statistics
+from weft.operators import accounting, candidates, chunks, closure, folds, integrity, lookups, namespace, statistics
 from weft.plans.catalog import QUERIES
+from weft.sources import results
 from weft.sources.shared import fresh_dir
 from weft.sources.store import BlobTable, VersionedTable
 from weft.streaming import log as streams
@@ -241,3 +242,51 @@ def test_lock_conflicts_of_all_line_items_match_brute_force(spark, tmp_path):
     got = [tuple(r) for r in QUERIES["lock_conflicts_all"](spark, str(tmp_path)).select("ino", "a_id", "b_id").collect()]
     assert len(got) == len(want) and set(got) == want
     assert len(got) > 5 * QUERIES["lock_conflicts"](spark, str(tmp_path)).count()
+
+
+def test_deep_paths_and_closures(spark):
+    deep = 70
+    d = spark.createDataFrame([(k, f"d{k}", k + 1) for k in range(1, deep + 1)], "parent long, name string, ino long")
+    whole = "/".join(f"d{k}" for k in range(1, deep + 1))
+    got = {r["path"]: r["ino"] for r in closure.resolve_paths(spark.createDataFrame([(whole,), (whole.replace("d69", "x"),), ("d1",)], "path string"), d, 1).collect()}
+    assert got == {whole: deep + 1, whole.replace("d69", "x"): None, "d1": 2}
+    chain = spark.createDataFrame([(k, k + 1) for k in range(19)] + [(19, 0)], "src long, dst long")
+    assert {r["node"]: r["depth"] for r in closure.reachable(spark.createDataFrame([(0,)], "node long"), chain).collect()} == {k: k for k in range(20)}
+
+
+def test_versions_point_to_files(spark, tmp_path):
+    at = f"file://{tmp_path}"
+    t = VersionedTable(spark, f"{at}/t", "a long")
+    t.publish(spark.range(3).withColumnRenamed("id", "a"), applied=9)
+    files = lambda: len(list((tmp_path / "t" / "data").iterdir()))
+    t.snapshot("one")
+    assert files() == 1 and t.meta()["applied"] == 9
+    t.append(spark.range(10, 12).withColumnRenamed("id", "a"), applied=12)
+    assert files() == 2 and t.read().count() == 5 and t.read(snapshot="one").count() == 3
+    t.restore("one")
+    assert files() == 2 and t.read().count() == 3 and t.meta()["applied"] == 12
+    assert [n for n, _ in t.snapshots()] == ["one"]
+    t.delete_snapshot("one")
+    with pytest.raises(KeyError):
+        t.read(snapshot="one")
+    assert t.snapshots() == [] and t.read().count() == 3
+    t.snapshot("one")
+    assert [n for n, _ in t.snapshots()] == ["one"] and t.read(snapshot="one").count() == 3
+    b = BlobTable(spark, f"{at}/b")
+    blob = lambda *xs: spark.createDataFrame([(bytearray(x),) for x in xs], "bytes binary")
+    b.put(blob(b"x", b"y"))
+    b.put(blob(b"y", b"z"))
+    new = spark.read.parquet(b.table.meta()["data"][-1])
+    assert [bytes(r["bytes"]) for r in new.collect()] == [b"z"] and b.table.read().count() == 3
+
+
+@pytest.mark.parametrize("form", ["csv", "json"])
+def test_results_round_trip(spark, tmp_path, form):
+    rows = spark.createDataFrame([(1, 'a,"b"', 0.5, True), (2, None, None, None), (3, "", -1.0, False)], "n long, t string, x double, b boolean")
+    schema = results.write_results(rows, str(tmp_path / "r"), form)
+    assert sorted(map(tuple, results.read_results(spark, str(tmp_path / "r"), schema, form).collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_classes_and_gates(spark):
+    row = spark.range(1).select(*(accounting.class_key(m, [F.lit("txt"), F.lit(1)], [F.lit(3)], F.lit("new")).alias(m) for m in ("none", "extension", "byte_sketch", "history", "combined")), accounting.high_entropy(F.lit(255), F.lit(8.0)).alias("small"), accounting.high_entropy(F.lit(256), F.lit(7.2)).alias("large")).first()
+    assert row["none"] is None and len({row[m] for m in ("extension", "byte_sketch", "history", "combined")}) == 4 and not row["small"] and row["large"]

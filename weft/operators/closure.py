@@ -6,6 +6,9 @@ executor costs one round; only a count comes back to the driver.
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,16 +16,25 @@ from weft.functions.values import MAX_DEPTH
 from weft.sources.shared import cut
 
 
-def reachable(roots: DataFrame, edges: DataFrame, most_rounds: int = 100) -> DataFrame:
-    """(node, depth): what roots (node) reach over edges (src, dst), all kinds of them, with the shortest distance."""
-    found = cut(roots.select("node").distinct().withColumn("depth", F.lit(0)))
-    front = found
-    for k in range(1, most_rounds + 1):
-        front = cut(front.join(edges.select(F.col("src").alias("node"), "dst"), "node").select(F.col("dst").alias("node")).distinct().join(found, "node", "left_anti").withColumn("depth", F.lit(k)))
+def reachable(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, depth): what roots (node) reach over edges (src, dst), all kinds of them, with the shortest distance.
+
+    A round for each level, however many there are; each writes only what it found (and each 16th all that was
+    found so far, as one table), and cycles end where nothing new is found.
+    """
+    levels = [cut(roots.select("node").distinct().withColumn("depth", F.lit(0)))]
+    steps = edges.select(F.col("src").alias("node"), "dst").distinct()
+    for depth in count(1):
+        found = reduce(DataFrame.union, levels)
+        if len(levels) > 16:
+            older = cut(reduce(DataFrame.union, levels[:-1]))
+            levels = [older, levels[-1]]
+            found = reduce(DataFrame.union, levels)
+        new = levels[-1].join(steps, "node").select(F.col("dst").alias("node")).distinct().join(found, "node", "left_anti")
+        front = cut(new.withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             return found
-        found = cut(found.union(front))
-    raise RuntimeError("the closure did not settle")
+        levels.append(front)
 
 
 def chain_depth(edges: DataFrame, most: int = MAX_DEPTH) -> DataFrame:
@@ -39,19 +51,22 @@ def chain_depth(edges: DataFrame, most: int = MAX_DEPTH) -> DataFrame:
     return depth.select("node", F.least("depth", F.lit(most + 1)).alias("depth"), (F.col("depth") <= most).alias("accepted"))
 
 
-def resolve_paths(paths: DataFrame, dirents: DataFrame, root: int, most_parts: int = 64) -> DataFrame:
+def resolve_paths(paths: DataFrame, dirents: DataFrame, root: int, parts_a_cut: int = 16) -> DataFrame:
     """paths (path) with ino: each component is looked up among its directory's entries (parent, name, ino); null if one is missing.
 
-    Empty components and ``.`` count for nothing; ``..`` isn't resolved.
+    Empty components and ``.`` count for nothing; ``..`` isn't resolved. Paths may be of any length: each
+    component is a join, and after each parts_a_cut of them the rows are written, so that plans stay short.
     """
     parts = F.filter(F.split("path", "/"), lambda p: (p != "") & (p != "."))
     at = paths.select("path", parts.alias("parts"), F.lit(root).cast("long").alias("at"))
-    longest = min(most_parts, at.agg(F.max(F.size("parts"))).first()[0] or 0)
+    longest = at.agg(F.max(F.size("parts"))).first()[0] or 0
     entries = dirents.select(F.col("parent").alias("at"), F.col("name").alias("part"), F.col("ino").cast("long").alias("next"))
     for k in range(longest):
         more = F.size("parts") > k
         step = at.withColumn("part", F.when(more, F.get("parts", F.lit(k)))).join(entries, ["at", "part"], "left")
         at = step.select("path", "parts", F.when(more, F.col("next")).otherwise(F.col("at")).alias("at"))
+        if k % parts_a_cut == parts_a_cut - 1:
+            at = cut(at)
     return at.select("path", F.when(~F.exists("parts", lambda p: p == ".."), F.col("at")).alias("ino"))
 
 

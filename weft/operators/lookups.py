@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weft.sources.shared import cut
+
 
 def as_of(points: DataFrame, extents: DataFrame, key: str = "ino", at: str = "pos", start: str = "start", forward: bool = False, width: int = 1 << 20) -> DataFrame:
     """points with the extent row of the same key that begins last at or before the point (forward: first at or after it), as struct ``found``.
@@ -102,3 +104,20 @@ def latest(rows: DataFrame, keys: list[str], order: Column | str) -> DataFrame:
     """Of each key the row of the largest order."""
     rest = [c for c in rows.columns if c not in keys]
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("r")).select(*keys, *(F.col(f"r.{c}").alias(c) for c in rest))
+
+
+def points(wanted: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """wanted with the table's row of each key and found; keys that the table lacks are kept with nulls."""
+    return wanted.join(table.withColumn("found", F.lit(True)), keys, "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def in_order(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with place, from 1 in the order of unique keys: a range exchange, counts of its partitions (a row each), and places within them."""
+    ordered = cut(rows.orderBy(*keys).withColumn("__part", F.spark_partition_id()))
+    before, total = [], 0
+    for part, n in sorted((r[0], r[1]) for r in ordered.groupBy("__part").count().collect()):
+        before.append((part, total))
+        total += n
+    starts = F.broadcast(rows.sparkSession.createDataFrame(before, "__part int, __before long"))  # a row a partition
+    place = F.row_number().over(W.partitionBy("__part").orderBy(*keys))
+    return ordered.join(starts, "__part").withColumn("place", (F.col("__before") + place).cast("int")).drop("__part", "__before")

@@ -92,3 +92,8 @@ def allocate(inodes: DataFrame, names: DataFrame, order: str) -> DataFrame:
 def has_room(used: int, new: int, capacity: int, share: float = 0.92) -> bool:
     """Whether a write may begin: what it leads to stays within this share of the capacity."""
     return used + new <= share * capacity
+
+
+def attributes(log: DataFrame) -> DataFrame:
+    """(ino, name, value) after a log (ino, name, seq, value) of settings: the last of each name, none where it was removed (null)."""
+    return log.groupBy("ino", "name").agg(F.max_by("value", "seq").alias("value")).where("value is not null")

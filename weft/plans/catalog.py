@@ -462,3 +462,6 @@ def version_differences(spark, sf_dir):
     n = F.least(F.octet_length("bytes"), F.octet_length("previous"))
     d = byte_functions.difference(F.substring("bytes", F.lit(1), n), F.substring("previous", F.lit(1), n))
     return turns.where("previous is not null").select("conv_id", "turn", d.alias("d")).select("conv_id", "turn", "d.positions", "d.runs", F.round("d.hist_change", 9).alias("hist_change"))
+
+
+from weft.plans import store_queries  # noqa: E402, F401  (registers its queries)

@@ -38,37 +38,60 @@ class VersionedTable:
         return [p["version"] for p in self._pointers()]
 
     def publish(self, rows: DataFrame, **meta) -> int:
-        version = self.meta().get("version", 0) + 1
-        data = f"{self.path}/data/v{version:08d}-{uuid.uuid4().hex}"
+        """Write rows as the newest version; what the version before says of itself goes on unless meta says otherwise."""
+        return self._point([self._write(rows)], **meta)
+
+    def append(self, rows: DataFrame, **meta) -> int:
+        """A version of the newest one's files and of rows, which alone are written."""
+        return self._point([*self.meta().get("data", []), self._write(rows)], **meta)
+
+    def _write(self, rows: DataFrame) -> str:
+        data = f"{self.path}/data/{uuid.uuid4().hex}"
         rows.write.parquet(data)
-        line = json.dumps(meta | {"version": version, "data": data})
-        self.spark.createDataFrame([(line,)], "value string").coalesce(1).write.text(f"{self.path}/pointers/v{version:08d}")
+        return data
+
+    def _point(self, data: list[str], **meta) -> int:
+        """Point to files by the next number; if another writer has taken it since, that is an error."""
+        before = {k: v for k, v in self.meta().items() if k not in ("snapshot", "deleted")}
+        version = before.get("version", 0) + 1
+        line = json.dumps(before | meta | {"version": version, "data": data})
+        self.spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("errorifexists").text(f"{self.path}/pointers/v{version:08d}")
         return version
 
+    def _named(self, name: str) -> dict:
+        found = [p for p in self._pointers() if p.get("snapshot") == name]
+        if not found or any(p.get("deleted") == name and p["version"] > found[-1]["version"] for p in self._pointers()):
+            raise KeyError(name)
+        return found[-1]
+
     def read(self, version: int | None = None, snapshot: str | None = None) -> DataFrame:
-        found = self._pointers()
-        if snapshot is not None:
-            found = [p for p in found if p.get("snapshot") == snapshot]
-            if not found:
-                raise KeyError(snapshot)
+        found = self._pointers() if snapshot is None else [self._named(snapshot)]
         if version is not None:
             found = [p for p in found if p["version"] == version]
             if not found:
                 raise KeyError(version)
         if not found:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(found[-1]["data"])
+        return self.spark.read.schema(self.schema).parquet(*found[-1]["data"])
 
     def snapshot(self, name: str) -> int:
-        """Publish the newest version again under a name."""
-        return self.publish(self.read(), snapshot=name)
+        """Point to the newest version's files once more, under a name; nothing is copied."""
+        return self._point(self.meta().get("data") or [self._write(self.read())], snapshot=name)
 
     def snapshots(self) -> list[tuple[str, int]]:
-        return [(p["snapshot"], p["version"]) for p in self._pointers() if "snapshot" in p]
+        """Name and version of the snapshots that aren't deleted."""
+        last = {p["snapshot"]: p["version"] for p in self._pointers() if "snapshot" in p}
+        gone = {p["deleted"]: p["version"] for p in self._pointers() if "deleted" in p}
+        return [(n, v) for n, v in last.items() if gone.get(n, 0) < v]
+
+    def delete_snapshot(self, name: str) -> int:
+        """Give the name up; the newest version stays as it is."""
+        self._named(name)
+        return self._point(self.meta()["data"], deleted=name)
 
     def restore(self, name: str) -> int:
-        """Publish a snapshot's rows as the newest version; the snapshot stays."""
-        return self.publish(self.read(snapshot=name))
+        """Point to a snapshot's files as the newest version; the snapshot stays."""
+        return self._point(self._named(name)["data"])
 
 
 class BlobTable:
@@ -80,7 +103,7 @@ class BlobTable:
     def put(self, blobs: DataFrame) -> DataFrame:
         """Store what isn't there yet, and give every blob's id; a blob put twice is stored once."""
         old = self.table.read()
-        self.table.publish(old.unionByName(distinct_blobs(blobs.select("bytes"), old).select("blob_id", "bytes")))
+        self.table.append(distinct_blobs(blobs.select("bytes"), old).select("blob_id", "bytes"))
         return blobs.withColumn("blob_id", F.sha2("bytes", 256))
 
     def get(self, ids: DataFrame) -> DataFrame:

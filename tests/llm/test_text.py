@@ -372,6 +372,37 @@ def test_log_weights_match_brute_force(spark):
         assert got[i]["log_weight"] == pytest.approx(100 * np.mean([ratio(g) for g in grams(t)])) and got[i]["n_words"] == len(words(t)) and "text" not in got[i]
 
 
+def test_members_are_weighed_without_themselves(spark, monkeypatch):
+    """Brute force: both models counted anew without each text; equal texts that differ in their label get their own weights."""
+    monkeypatch.setattr(resampling, "MEMBER_LENGTH", 10)
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices("alpha Beta gamma delta eps zeta".split(), k=rng.randint(1, 12))) for _ in range(30)] + ["one of a kind", "one of a kind", "beta", "?", ""]
+    inside = [i % 3 == 0 for i in range(len(texts))]
+    grams = lambda t: [*words(t), *zip(words(t), words(t)[1:])]  # noqa: E731, B905
+    lam = sum(len(grams(t)) for t, m in zip(texts, inside, strict=True) if m) / sum(len(grams(t)) for t in texts)
+    df = spark.createDataFrame([(i, t, "e", m or None) for i, (t, m) in enumerate(zip(texts, inside, strict=True))] + [(99, None, "e", True)], SCHEMA + ", m boolean")
+    got = {r["doc_id"]: r for r in resample(df, None, member="m").collect()}
+    assert "m" not in got[0] and len(got) == len(texts) + 1
+    for i, t in enumerate(texts):
+        others = [j for j in range(len(texts)) if j != i]
+        raw, goal = (Counter(g for j in some for g in grams(texts[j])) for some in (others, [j for j in others if inside[j]]))
+        want = [np.log((goal[g] + 5) / (raw[g] * lam + 5)) for g in grams(t)]
+        assert got[i]["log_weight"] == (pytest.approx(10 * np.mean(want)) if want else None)
+    assert got[99]["log_weight"] is None and resample(df.where("false"), None, member="m").count() == 0
+    with pytest.raises(ValueError):
+        resample(df, None)
+
+
+def test_resampling_keeps_good_rather_than_toxic(spark):
+    """Each text is weighed by the others, so this is held out. On sf0.1: the some 50 toxic texts of sf0.01 are too few to learn from."""
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    got = QUERIES["op4_quality_resampling"](spark, "/root/testdata/sf0.1").join(labels, "doc_id").toPandas()
+    got = got[(got["quality"] == 1) | (got["toxic"] == 1)]
+    good, toxic = (got[got["toxic"] == t]["kept"].mean() for t in (0, 1))
+    print(f"kept of toxic {toxic:.2f}, of others {good:.2f}")
+    assert good > 0.8 and toxic < 0.4
+
+
 def test_resampling_ties(spark):
     same = [(None, "the same words")] * 100
     assert sum(r["kept"] for r in resample(frame(spark, same), frame(spark, same[:1]), share=0.8).collect()) == 80

@@ -13,7 +13,7 @@ from .language import identify, train
 from .near_duplicates import join_near_duplicates
 from .packing import pack_documents
 from .repeated_spans import remove_repeats
-from .resampling import resample, target_documents, target_share
+from .resampling import mark_target, resample, target_share
 from .token_files import read_token_files, write_token_files
 from .topk_search import top_k
 from .warc import read_warc, write_warc
@@ -45,7 +45,7 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels")
-    return resample(docs, target_documents(docs, labels), target_share(labels), carry_text=False)
+    return resample(mark_target(docs, labels, "in_target"), None, target_share(labels), carry_text=False, member="in_target")
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

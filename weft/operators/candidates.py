@@ -16,6 +16,7 @@ from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, S
 
 from weft.functions.bytes import arrangements, fits_128_bits, subset_rank, subset_unrank
 from weft.functions.values import MAX_FANOUT, MAX_INLINE, MAX_PALETTE, MAX_PERIOD, dependent_reads, encoded_size, persisted_bytes, policies, read_cycles, reference_depth, total_cost, write_cycles
+from weft.sources.shared import cut
 
 #: Candidates in the order in which ties are broken.
 ORDER = ("zero", "fill", "inline", "periodic", "sparse", "palette", "base_residual", "raw")
@@ -197,19 +198,21 @@ def choose_anchors(savings: DataFrame, group: str, picks: int = 4, most: int = 1
 
     Each group's ``most`` anchors of largest total saving compete; ties go to the smaller anchor. A round
     takes the anchor that adds most to the best saving of each member so far. Rounds are few and fixed,
-    each a grouped sum over all groups at once.
+    each a grouped sum over all groups at once, and each is written, so that none is computed again for the next.
     """
     from pyspark.sql import Window as W
 
     totals = savings.groupBy(group, "anchor").agg(F.sum("saving").alias("total"))
     rivals = totals.withColumn("r", F.row_number().over(W.partitionBy(group).orderBy(F.desc("total"), "anchor"))).where(F.col("r") <= most).select(group, "anchor")
-    open_ = savings.join(rivals, [group, "anchor"]).withColumn("had", F.lit(0).cast("long"))
+    open_ = cut(savings.join(rivals, [group, "anchor"]).withColumn("had", F.lit(0).cast("long")))
     chosen = None
     for k in range(picks):
         gains = open_.groupBy(group, "anchor").agg(F.sum(F.greatest(F.col("saving") - F.col("had"), F.lit(0))).alias("gain"))
-        best = gains.where("gain > 0").groupBy(group).agg(F.max_by(F.struct("anchor", "gain"), F.struct("gain", (-F.col("anchor")).alias("low"))).alias("b")).select(group, F.lit(k + 1).alias("pick"), F.col("b.anchor").alias("anchor"), F.col("b.gain").cast("long").alias("gain"))
+        best = cut(gains.where("gain > 0").groupBy(group).agg(F.max_by(F.struct("anchor", "gain"), F.struct("gain", (-F.col("anchor")).alias("low"))).alias("b")).select(group, F.lit(k + 1).alias("pick"), F.col("b.anchor").alias("anchor"), F.col("b.gain").cast("long").alias("gain")))
         chosen = best if chosen is None else chosen.union(best)
+        if k == picks - 1:
+            break
         taken = open_.join(best.select(group, "anchor"), [group, "anchor"]).select(group, "member", F.col("saving").alias("now"))
-        open_ = open_.join(taken, [group, "member"], "left").withColumn("had", F.greatest("had", F.coalesce("now", F.lit(0)))).drop("now")
+        open_ = cut(open_.join(taken, [group, "member"], "left").withColumn("had", F.greatest("had", F.coalesce("now", F.lit(0)))).drop("now"))
     return chosen
 

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weft.functions import values
+from weft.operators import accounting, closure
+
 
 def _finding(rows: DataFrame, category: str, severity: str, key: Column, detail: Column) -> DataFrame:
     return rows.select(F.lit(category).alias("category"), F.lit(severity).alias("severity"), key.cast("string").alias("key"), detail.cast("string").alias("detail"))
@@ -81,3 +84,21 @@ def check_store(inodes: DataFrame, dirents: DataFrame, extents: DataFrame, objec
             _finding(missing(objects, used, "obj", "obj"), "unreachable", "warning", F.col("obj"), F.lit(None)),
         ],
     )
+
+
+def check_metadata(roots: DataFrame, snapshots: DataFrame, nodes: DataFrame, entries: DataFrame, inodes: DataFrame, extents: DataFrame, index: DataFrame, references: DataFrame) -> DataFrame:
+    """Findings beside check_store's: root slots (generation, valid), snapshots (name, root) without their root among the
+    nodes (node), directory entries (parent, name, ino, kind), inodes, extents (ino, start, cid) against the chunk index
+    (ino, start, cid), chains of references (src, dst) that are too deep or run in a circle. A spare slot that isn't valid only warns."""
+    too_deep = closure.chain_depth(references).where("not accepted")
+    return reduce(
+        DataFrame.unionByName,
+        [
+            _finding(roots.where("not valid"), "root-slot", "warning", F.col("generation"), F.lit(None)),
+            _finding(missing(snapshots, nodes, "root", "node"), "snapshot-root", "error", F.col("name"), F.col("root")),
+            _finding(accounting.invalid_entries(entries, inodes, values.valid_name(F.col("name"))), "directory-entry", "error", F.col("parent"), F.col("finding")),
+            _finding(bad_inodes(inodes), "inode", "error", F.col("ino"), F.col("nlink")),
+            _finding(accounting.index_mismatches(extents, index, ["ino", "start"]), "chunk-index", "error", F.col("ino"), F.col("finding")),
+            _finding(too_deep, "reference-depth", "error", F.col("node"), F.col("depth")),
+        ],
+    )

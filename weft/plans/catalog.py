@@ -379,13 +379,21 @@ def trust_order_budget(spark, sf_dir):
     return candidates.plan_channels(c, "user_id", F.lit(3)).select("user_id", "event_type", "place")
 
 
-@query()
+_SERIES = "e AS (SELECT user_id, event_id, greatest(0.0, least(1.0, value / 100)) AS m, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events)"
+
+
+@query(f"""WITH RECURSIVE {_SERIES}, r(user_id, event_id, n, lev, rate, win, spot, regime) AS (SELECT user_id, event_id, n, m, CAST(0 AS DOUBLE), 0, CAST(0 AS DOUBLE), 'unknown' FROM e WHERE n = 1
+UNION ALL SELECT user_id, event_id, n, lev2, rate2, CASE WHEN w > 0 THEN w WHEN hit THEN 8 ELSE 0 END, CASE WHEN hit THEN lev2 ELSE spot END, CASE WHEN w > 0 OR hit THEN 'slew' WHEN n <= 4 OR abs(rate2) <= 0.004 THEN 'stable' ELSE 'drift' END
+FROM (SELECT *, w = 0 AND n > 4 AND abs(jump) > 0.25 AS hit FROM (SELECT e.user_id, e.event_id, e.n, spot, m - lev AS jump, 0.9 * rate + 0.1 * (m - lev) AS rate2, 0.8 * lev + 0.2 * m AS lev2,
+CASE WHEN win = 0 OR abs(m - spot) < 0.1 THEN 0 ELSE win - 1 END AS w FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1))) SELECT user_id, event_id, regime FROM r""")
 def regimes(spark, sf_dir):
     rows = s.table(spark, sf_dir, "events").select("user_id", "event_id", _unit().alias("m"))
     return folds.track_regimes(rows, "user_id", ["event_id"], "m").select("user_id", "event_id", "regime")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_SERIES}, r(user_id, event_id, n, d, h, signal) AS (SELECT user_id, event_id, n, 0.8 * CAST(0 AS DOUBLE) + 0.2 * m, 0.8 * CAST(0 AS DOUBLE) + 0.2 * (1 - m), 'none' FROM e WHERE n = 1
+UNION ALL SELECT e.user_id, e.event_id, e.n, 0.8 * d + 0.2 * m, 0.8 * h + 0.2 * (1 - m), CASE WHEN e.n <= 5 THEN 'none' WHEN d >= 0.005 AND m > 4 * d AND m - d > 0.2 THEN 'density_jump' WHEN h >= 0.005 AND 1 - m > 4 * h AND 1 - m - h > 0.2 THEN 'hist_jump' ELSE 'none' END
+FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1) SELECT user_id, event_id, signal FROM r""")
 def slew_signals(spark, sf_dir):
     rows = s.table(spark, sf_dir, "events").select("user_id", "event_id", _unit().alias("m"), (1 - _unit()).alias("c"))
     return folds.detect_slews(rows, "user_id", ["event_id"], "m", "c").select("user_id", "event_id", "signal")
@@ -450,13 +458,22 @@ def name_classes(spark, sf_dir):
     return s.table(spark, sf_dir, "pages").select("page_id", values.name_class(F.col("url")).alias("c")).select("page_id", "c.extension", "c.length_bucket")
 
 
-@query()
+@query(f"""WITH {s.BLOBS}, b AS (SELECT doc_id, octet_length(bytes) AS n, regexp_extract_all(hex(bytes), '..') AS x FROM blobs), p AS (SELECT doc_id, n, unnest(x) AS x, unnest(range(n)) AS i FROM b),
+whole AS (SELECT doc_id, -sum(c / t * log2(c / t)) AS e, count(*) AS k FROM (SELECT doc_id, c, CAST(sum(c) OVER (PARTITION BY doc_id) AS DOUBLE) AS t FROM (SELECT doc_id, x, count(*) AS c FROM p GROUP BY 1, 2)) GROUP BY doc_id),
+parts AS (SELECT doc_id, s, -sum(c / t * log2(c / t)) AS e FROM (SELECT doc_id, s, c, CAST(sum(c) OVER (PARTITION BY doc_id, s) AS DOUBLE) AS t FROM (SELECT doc_id, s, x, count(*) AS c FROM p JOIN range(3) o(s) ON i % (greatest(1, n // least(n, 4096)) + s) = 0
+AND i // (greatest(1, n // least(n, 4096)) + s) < least(n, 4096) GROUP BY 1, 2, 3)) GROUP BY 1, 2), least_ AS (SELECT doc_id, min(e) AS e FROM parts GROUP BY 1),
+sk AS (SELECT doc_id, CAST(floor(20 * (count(*) FILTER (x BETWEEN '20' AND '7E' OR x IN ('09', '0A', '0D')) / count(*))) AS INTEGER) AS pr, CAST(floor(count(DISTINCT x) / 256 * 20) AS INTEGER) AS di FROM p WHERE i < 4096 AND i % greatest(1, least(n, 4096) // 2048) = 0 GROUP BY 1)
+SELECT b.doc_id, round(abs(coalesce(w.e, 0)), 9) AS entropy, CAST(coalesce(k, 0) AS INTEGER) AS distinct_bytes, round(abs(coalesce(l.e, 0)), 9) AS sampled, coalesce(pr, 0) AS printable, coalesce(di, 0) AS distinct_share
+FROM b LEFT JOIN whole w ON w.doc_id = b.doc_id LEFT JOIN least_ l ON l.doc_id = b.doc_id LEFT JOIN sk ON sk.doc_id = b.doc_id""")
 def byte_features(spark, sf_dir):
     b = F.col("bytes")
-    return s.blobs(spark, sf_dir).select("doc_id", F.round(byte_functions.byte_entropy(b), 9).alias("entropy"), byte_functions.distinct_bytes(b).alias("distinct_bytes"), F.round(byte_functions.sampled_entropy()(b), 9).alias("sampled"), byte_functions.byte_sketch(b).alias("sketch"))
+    return s.blobs(spark, sf_dir).select("doc_id", F.round(byte_functions.byte_entropy(b), 9).alias("entropy"), byte_functions.distinct_bytes(b).alias("distinct_bytes"), F.round(byte_functions.sampled_entropy()(b), 9).alias("sampled"), byte_functions.byte_sketch(b).alias("s")).select("doc_id", "entropy", "distinct_bytes", "sampled", F.col("s.printable").alias("printable"), F.col("s.distinct").alias("distinct_share"))
 
 
-@query()
+@query("""WITH c AS (SELECT conv_id, turn, encode(text) AS a, lag(encode(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations), t AS (SELECT conv_id, turn, least(octet_length(a), octet_length(b)) AS n, regexp_extract_all(hex(a), '..') AS a, regexp_extract_all(hex(b), '..') AS b FROM c WHERE b IS NOT NULL),
+p AS (SELECT conv_id, turn, n, unnest(range(1, n + 1)) AS i, unnest(a[1:n]) AS x, unnest(b[1:n]) AS y FROM t), d AS (SELECT *, x <> y AND coalesce(lag(x = y) OVER (PARTITION BY conv_id, turn ORDER BY i), TRUE) AS begins FROM p),
+g AS (SELECT conv_id, turn, count(*) FILTER (x <> y) AS positions, count(*) FILTER (begins) AS runs FROM d GROUP BY 1, 2), h AS (SELECT conv_id, turn, sum(abs(k)) AS l1 FROM (SELECT conv_id, turn, z, sum(k) AS k FROM (SELECT conv_id, turn, x AS z, 1 AS k FROM p UNION ALL SELECT conv_id, turn, y, -1 FROM p) GROUP BY 1, 2, 3) GROUP BY 1, 2)
+SELECT t.conv_id, t.turn, CAST(coalesce(positions, 0) AS INTEGER) AS positions, CAST(coalesce(runs, 0) AS INTEGER) AS runs, round(coalesce(CAST(l1 AS DOUBLE) / (2 * n), 0), 9) AS hist_change FROM t LEFT JOIN g ON g.conv_id = t.conv_id AND g.turn = t.turn LEFT JOIN h ON h.conv_id = t.conv_id AND h.turn = t.turn""")
 def version_differences(spark, sf_dir):
     turns = lookups.neighbours(s.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").cast("binary").alias("bytes")), "conv_id", "turn", "bytes")
     n = F.least(F.octet_length("bytes"), F.octet_length("previous"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weft.functions import values
-from weft.operators import accounting, candidates, closure, lookups, namespace
+from weft.operators import accounting, candidates, closure, integrity, lookups, namespace
 from weft.plans import stand_ins as s
 from weft.plans.catalog import query
 
@@ -232,3 +232,78 @@ def cheapest_by_objective(spark, sf_dir):
     rows = s.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("chunk"), F.col("l_linenumber").cast("long").alias("ordinal"))
     c = rows.agg(F.max("l_quantity").cast("long").alias("persisted"), (F.max("l_partkey") % 50).cast("long").alias("objective"), (F.max("l_discount") < 0.05).alias("valid"))
     return candidates.cheapest(c, ["chunk"], metric="objective").select("chunk", "ordinal", "persisted", "objective")
+
+
+@query("""WITH c AS (SELECT l_orderkey AS chunk, CAST(l_linenumber AS BIGINT) AS ordinal, CAST(max(l_quantity) AS BIGINT) AS persisted, max(l_tax) < 0.04 AS valid FROM lineitem GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY persisted, ordinal) AS r FROM c WHERE valid) SELECT chunk, ordinal, persisted FROM r WHERE r = 1""")
+def cheapest_valid(spark, sf_dir):
+    """The first candidate by persisted bytes that gives its chunk back, of all line items as candidates."""
+    rows = s.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("chunk"), F.col("l_linenumber").cast("long").alias("ordinal"))
+    return candidates.cheapest(rows.agg(F.max("l_quantity").cast("long").alias("persisted"), (F.max("l_tax") < 0.04).alias("valid")), ["chunk"]).select("chunk", "ordinal", "persisted")
+
+
+def _anchor_rounds(picks: int) -> str:
+    """The greedy rounds, one after the other: k holds each round's anchors, h what each member has so far."""
+    out = ""
+    for k in range(1, picks + 1):
+        had = f"LEFT JOIN h{k - 1} h ON h.grp = s.grp AND h.member = s.member" if k > 1 else ""
+        got = "coalesce(had, 0)" if k > 1 else "0"
+        out += f""", g{k} AS (SELECT s.grp, s.anchor, sum(greatest(saving - {got}, 0)) AS gain FROM s {had} GROUP BY 1, 2), k{k} AS (SELECT grp, anchor, gain FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY gain DESC, anchor) AS r FROM g{k} WHERE gain > 0) WHERE r = 1),
+h{k} AS (SELECT s.grp, member, max(saving) AS had FROM s WHERE (s.grp, s.anchor) IN ({" UNION ALL ".join(f"SELECT (grp, anchor) FROM k{j}" for j in range(1, k + 1))}) GROUP BY 1, 2)"""
+    return out + " " + " UNION ALL ".join(f"SELECT grp, {k} AS pick, anchor, CAST(gain AS BIGINT) AS gain FROM k{k}" for k in range(1, picks + 1))
+
+
+@query(f"""WITH m AS (SELECT l_partkey % 50 AS grp, l_suppkey AS anchor, l_orderkey % 40 AS member, CAST(sum(l_quantity) AS BIGINT) AS saving FROM lineitem GROUP BY 1, 2, 3),
+t AS (SELECT grp, anchor, row_number() OVER (PARTITION BY grp ORDER BY sum(saving) DESC, anchor) AS r FROM m GROUP BY 1, 2), s AS (SELECT m.* FROM m JOIN t ON t.grp = m.grp AND t.anchor = m.anchor WHERE r <= 12){_anchor_rounds(4)}""")
+def four_anchors(spark, sf_dir):
+    """Up to four anchors of twelve rivals a group; members are saved from several anchors, so that rounds depend on those before."""
+    rows = s.table(spark, sf_dir, "lineitem").groupBy((F.col("l_partkey") % 50).alias("grp"), F.col("l_suppkey").alias("anchor"), (F.col("l_orderkey") % 40).alias("member"))
+    return candidates.choose_anchors(rows.agg(F.sum("l_quantity").cast("long").alias("saving")), "grp")
+
+
+@query(f"""WITH {s.EXTENTS}, x AS (SELECT ino, start, len * 100 AS n, len, ['raw', 'base_residual', 'sparse', 'sequence_dict'][start // 40 % 4 + 1] AS family FROM extents),
+y AS (SELECT *, CASE family WHEN 'raw' THEN n WHEN 'base_residual' THEN 2 * n WHEN 'sparse' THEN n // 8 + 4 ELSE 5 * n + 64 END AS rd, CASE family WHEN 'raw' THEN n WHEN 'base_residual' THEN 3 * n WHEN 'sparse' THEN n // 8 + 8 ELSE 10 * n END AS wr,
+CASE family WHEN 'sparse' THEN 0 WHEN 'sequence_dict' THEN 3 ELSE 1 END AS io, CASE WHEN family IN ('base_residual', 'sequence_dict') THEN 1 ELSE 0 END AS depth FROM x),
+p(mode, r, w, i, d) AS (VALUES ('capacity', 2, 2, 256, 512), ('balanced', 8, 8, 512, 1024), ('latency', 64, 16, 4096, 8192), ('archive', 1, 1, 64, 256), ('ram', 32, 32, 2048, 4096))
+SELECT ino, mode, CAST(sum(len + r * rd // 1024 + w * wr // 1024 + i * io + d * depth) AS BIGINT) AS objective FROM y, p GROUP BY 1, 2""")
+def file_objectives(spark, sf_dir):
+    """What each file's extents cost under each policy."""
+    n, family = F.col("len") * 100, F.element_at(F.array(*map(F.lit, ("raw", "base_residual", "sparse", "sequence_dict"))), (F.col("start") / 40 % 4 + 1).cast("int"))
+    rows = s.extents(spark, sf_dir).select("ino", "len", n.alias("n"), family.alias("family"))
+    policy = F.array(*(F.struct(F.lit(m).alias("mode"), *(F.lit(v).cast("long").alias(f"lambda_{k}") for k, v in zip(("read", "write", "io", "depth"), w, strict=True))) for m, w in values.POLICIES.items()))
+    each = rows.withColumn("p", F.explode(policy)).select("*", "p.*")
+    cost = values.total_cost(F.col("len"), values.read_cycles(F.col("family"), F.col("n")), values.write_cycles(F.col("family"), F.col("n")), values.dependent_reads(F.col("family")), values.reference_depth(F.col("family")))
+    return each.groupBy("ino", "mode").agg(F.sum(cost).cast("long").alias("objective"))
+
+
+@query("""WITH x AS (SELECT page_id, url, greatest(length(url), 1) AS n, length(regexp_replace(url, '[^A-Za-z]', '', 'g')) AS a, length(regexp_replace(url, '[^0-9]', '', 'g')) AS d FROM pages)
+SELECT page_id, CASE WHEN a / n > 0.7 THEN 0 WHEN d / n > 0.3 THEN 1 WHEN a / n > 0.3 THEN 2 ELSE 3 END AS mix FROM x""")
+def name_mixes(spark, sf_dir):
+    return s.table(spark, sf_dir, "pages").select("page_id", values.name_class(F.col("url"))["mix"].alias("mix"))
+
+
+@query(f"""WITH RECURSIVE {s.EXTENTS}, {s.INODES}, {s.EDGES}, i AS (SELECT *, ['file', 'directory', 'symlink'][ino % 3 + 1] AS data_kind FROM inodes), ix AS (SELECT l_orderkey AS ino, CAST((l_linenumber - 1) * 40 AS BIGINT) AS start, min(l_partkey) AS cid FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1, 2),
+w(node, spot, d) AS (SELECT src, dst, 1 FROM edges UNION ALL SELECT node, dst, d + 1 FROM w JOIN edges ON src = spot WHERE d < 6),
+d AS (SELECT CASE WHEN c_custkey % 9 = 0 THEN '..' ELSE c_name END AS name, c_custkey * 3 AS ino, CASE WHEN c_custkey % 4 = 0 THEN 'directory' ELSE 'file' END AS kind FROM customer),
+f AS (SELECT 'root-slot' AS category, 'warning' AS severity FROM orders WHERE o_orderstatus <> 'F' UNION ALL SELECT 'snapshot-root', 'error' FROM supplier WHERE s_suppkey * 37 NOT IN (SELECT p_partkey FROM part)
+UNION ALL SELECT 'directory-entry', 'error' FROM d LEFT JOIN i ON i.ino = d.ino WHERE name = '..' OR i.ino IS NULL OR data_kind <> kind
+UNION ALL SELECT 'inode', 'error' FROM i WHERE nlink = 0 OR (data_kind = 'directory' AND nlink < 2) OR (data_kind = 'symlink' AND ino % 2 = 1)
+UNION ALL SELECT 'chunk-index', 'error' FROM extents e LEFT JOIN ix ON e.ino = ix.ino AND e.start = ix.start WHERE cid IS NULL OR cid <> e.obj
+UNION ALL SELECT 'reference-depth', 'error' FROM (SELECT node FROM w GROUP BY node HAVING max(d) > 4)) SELECT category, severity, count(*) AS findings FROM f GROUP BY 1, 2""")
+def fsck_metadata(spark, sf_dir):
+    kind = F.element_at(F.array(F.lit("file"), F.lit("directory"), F.lit("symlink")), (F.col("ino") % 3 + 1).cast("int"))
+    inodes = s.inodes(spark, sf_dir).withColumn("data_kind", kind).withColumn("kind", kind).withColumn("symlink_target", F.repeat(F.lit("x"), (F.col("size") - F.col("ino") % 2).cast("int")))
+    orders, supplier, customer, part = (s.table(spark, sf_dir, t) for t in ("orders", "supplier", "customer", "part"))
+    entries = customer.select(F.col("c_nationkey").alias("parent"), F.when(F.col("c_custkey") % 9 == 0, "..").otherwise(F.col("c_name")).alias("name"), (F.col("c_custkey") * 3).alias("ino"), F.when(F.col("c_custkey") % 4 == 0, "directory").otherwise("file").alias("kind"))
+    index = s.table(spark, sf_dir, "lineitem").where("l_returnflag <> 'N'").groupBy(F.col("l_orderkey").alias("ino"), ((F.col("l_linenumber") - 1) * 40).cast("long").alias("start")).agg(F.min("l_partkey").alias("cid"))
+    found = integrity.check_metadata(
+        roots=orders.select(F.col("o_orderkey").alias("generation"), (F.col("o_orderstatus") == "F").alias("valid")),
+        snapshots=supplier.select(F.col("s_name").alias("name"), (F.col("s_suppkey") * 37).alias("root")),
+        nodes=part.select(F.col("p_partkey").alias("node")),
+        entries=entries,
+        inodes=inodes,
+        extents=s.extents(spark, sf_dir).select("ino", "start", F.col("obj").alias("cid")),
+        index=index,
+        references=s.edges(spark, sf_dir),
+    )
+    return integrity.report([found])

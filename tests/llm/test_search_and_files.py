@@ -212,10 +212,11 @@ def test_rows_without_ids_of_their_own_are_packed_like_others(spark, most, over)
 
 
 def test_best_fit_weighs_every_capacity():
-    items, caps = np.array([[60, 1, 3600], [50, 1, 2500], [30, 1, 900], [8, 1, 64], [8, 1, 64]], float), np.array([100, 3, 10_000], float)
+    """The last item: bin 0 leaves the fewest tokens (10 for 21), bin 1 the fewest documents (none for one)."""
+    items, caps = np.array([[80, 1, 6400], [35, 1, 1225], [34, 1, 1156], [10, 1, 100]], float), np.array([100, 3, 10_000], float)
     by_tokens = best_fit(items, caps, np.array([1.0, 0, 0]), "norm")
     by_docs = best_fit(items, caps, np.array([0.01, 1, 0]), "norm")
-    assert by_tokens.tolist() != by_docs.tolist()
+    assert by_tokens.tolist() == [0, 1, 1, 0] and by_docs.tolist() == [0, 1, 1, 1]
     for bins in (by_tokens, by_docs, best_fit(items, caps, np.array([1.0, 0.3, 0.3]), "dot")):
         assert all((items[bins == b].sum(axis=0) <= caps).all() for b in set(bins.tolist()))
 
